@@ -57,35 +57,41 @@ def summed(maps: np.ndarray, depth: np.ndarray, q: np.ndarray) -> tuple[np.ndarr
 
     y is the stored value where q is positive and its complement where q is negative, so that all terms add.
     """
-    first = np.cumsum(depth) - depth
-    more, columns = 0, {}
-    for d in np.flatnonzero(q):
-        weight, n = abs(int(q[d])), int(depth[d])
-        own = maps[first[d] : first[d] + n]
-        if q[d] < 0:
-            own = ~own
-            more -= weight * ((1 << n) - 1)
-        for bit in range(weight.bit_length()):
-            if weight >> bit & 1:
-                for i in range(n):
-                    columns.setdefault(bit + i, []).append(own[i : i + 1])
-    out, carried, at = [], None, 0
-    width = maps.shape[1]
-    while at <= max(columns, default=-1) or carried is not None:
-        parts = columns.get(at, []) + ([carried] if carried is not None else [])
-        now, next_ = (np.concatenate(parts) if parts else np.zeros((0, width), np.uint64)), []
+    own_dim = np.repeat(np.arange(len(depth)), depth)
+    own_bit = np.arange(len(own_dim)) - np.repeat(np.cumsum(depth) - depth, depth)
+    q = np.concatenate((q, np.zeros(max(0, len(depth) - len(q)), np.int64)))[: len(depth)]
+    size = np.abs(q)
+    more = -sum(int(size[d]) * ((1 << int(depth[d])) - 1) for d in np.flatnonzero(q < 0))
+    signed = maps ^ np.where(q < 0, ~np.uint64(0), np.uint64(0))[own_dim][:, None]
+    rows, weights = [], []
+    for bit in range(int(size.max(initial=0)).bit_length()):
+        r = np.flatnonzero((size >> bit & 1)[own_dim])
+        rows.append(r)
+        weights.append(own_bit[r] + bit)
+    if not rows or not sum(map(len, rows)):
+        return np.zeros((1, maps.shape[1]), np.uint64), more
+    rows, weights = np.concatenate(rows), np.concatenate(weights)
+    order = np.argsort(weights, kind="stable")
+    terms, ends = signed[rows[order]], np.cumsum(np.bincount(weights))
+    out, carried, at = [], [], 0
+    while at < len(ends) or carried:
+        own = terms[ends[at - 1] if at else 0 : ends[at]] if at < len(ends) else terms[:0]
+        now, carried = (np.concatenate((own, *carried)) if carried else own), []
         while len(now) > 2:
             k = len(now) // 3
             a, b, c = now[:k], now[k : 2 * k], now[2 * k : 3 * k]
             ab = a ^ b
-            next_.append((a & b) | (c & ab))
-            now = np.concatenate((ab ^ c, now[3 * k :]))
+            both = a & b
+            both |= c & ab
+            carried.append(both)
+            ab ^= c
+            now = np.concatenate((ab, now[3 * k :])) if len(now) > 3 * k else ab
         if len(now) == 2:
-            next_.append(now[:1] & now[1:])
+            carried.append(now[:1] & now[1:])
             now = now[:1] ^ now[1:]
-        out.append(now[0] if len(now) else np.zeros(width, np.uint64))
-        carried, at = (np.concatenate(next_) if next_ else None), at + 1
-    return (np.stack(out) if out else np.zeros((1, width), np.uint64)), more
+        out.append(now[0] if len(now) else np.zeros(maps.shape[1], np.uint64))
+        at += 1
+    return np.stack(out), more
 
 
 def top_rows(sums: np.ndarray, allowed: np.ndarray, k: int) -> np.ndarray:
