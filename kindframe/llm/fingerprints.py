@@ -42,7 +42,7 @@ def _coins(x: np.ndarray, first: np.ndarray, wide: bool) -> np.ndarray:
     left = np.empty_like(x)
     left[1:] = x[:-1]
     left[first] = 0
-    place = LOW[((x ^ left) & x.dtype.type(0xFFFF)).astype(np.uint16)]
+    place = LOW[(x ^ left).astype(np.uint16)]
     if wide:
         for shift in (16, 32, 48):
             more = np.flatnonzero(place == shift)
