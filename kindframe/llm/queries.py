@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from kindframe.llm import bitslice_topk, line_dedup, packing, source_mix
+from kindframe.llm import bitslice_topk, fingerprints, line_dedup, packing, secret_scan, source_mix, warc_zip
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_source_mix": source_mix.op2_source_mix,
     "op3_bitslice_topk": bitslice_topk.op3_bitslice_topk,
     "op4_packing": packing.op4_packing,
+    "op5_warc_zip": warc_zip.op5_warc_zip,
+    "op6_fingerprints": fingerprints.op6_fingerprints,
+    "op8_secret_scan": secret_scan.op8_secret_scan,
 }
-ORACLES = {"op1_line_dedup": line_dedup.OP1_SQL, "op3_bitslice_topk": bitslice_topk.OP3_SQL}
+ORACLES = {"op1_line_dedup": line_dedup.OP1_SQL, "op3_bitslice_topk": bitslice_topk.OP3_SQL, "op5_warc_zip": warc_zip.OP5_SQL}
