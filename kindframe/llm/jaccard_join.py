@@ -177,7 +177,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets of whose tokens three quarters are shared; rows come in order of chunk."""
+    """Sets of whose tokens three quarters are shared, and how many in 1000 are not; rows come in order of chunk."""
     state: list = [None, [], None, None]
 
     def close():
@@ -185,7 +185,8 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (key, total), size = np.frombuffer(sets, np.int64).reshape(2, -1).copy(), np.frombuffer(sizes, np.int64)
         for o, c in parts:
             total[np.frombuffer(o, np.uint16)] += np.frombuffer(c, np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(key[4 * total >= 3 * size])], ["_set"])
+        able = 4 * total >= 3 * size
+        return pa.RecordBatch.from_arrays([pa.array(key[able]), pa.array((1000 * (size - total) // size)[able])], ["_set", "_apart"])
 
     for b in batches:
         for r in b.to_pylist():
@@ -265,10 +266,12 @@ def _held_against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
 
 
-def _grouped(chunks: DataFrame) -> DataFrame:
-    """Edges (a, b) between classes and the first of the groups they are in."""
-    members = stored(chunks.mapInArrow(_minima, "_key long, _set long"), "minima")
-    firsts = members.groupBy("_key").agg(F.min("_set").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("_key", "_first")
+def _grouped(chunks: DataFrame, able: DataFrame) -> DataFrame:
+    """Edges (a, b) between classes and the first of the groups they are in: the one of fewest tokens of its own, as an
+    original is nearer to its altered copies than these are to each other."""
+    members = stored(chunks.mapInArrow(_minima, "_key long, _set long").join(able, "_set"), "minima")
+    first = F.min_by("_set", F.struct("_apart", "_set"))
+    firsts = members.groupBy("_key").agg(first.alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("_key", "_first")
     pairs = members.join(stored(firsts, "firsts"), "_key").where("_set <> _first").select("_set", "_first").distinct()
     pairs = stored(pairs, "pairs")
     sets = stored(chunks.mapInArrow(_each, "_set long, _tokens binary"), "sets")
@@ -321,18 +324,19 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r["_chunk"]], pa.int64()), pa.array([own[hit].tobytes()], pa.binary()), pa.array([count[at[hit]].astype(np.int32).tobytes()], pa.binary())], ["_chunk", "_common", "_in"])
 
 
-QUERIES = "_set long, _group long, _tokens binary, _rare binary"
+QUERIES = "_set long, _group long, _n long, _most long, _tokens binary, _rare binary"
 
 
 def _queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes that can have a partner in another group, with the tokens of which a partner has at least one."""
+    """Classes that can have a partner in another group, with the tokens of which a partner has at least one, and the most
+    tokens that a partner can have: with s tokens in common at best, 7 s >= 3 (n + most)."""
     for b in batches:
         for r in b.to_pylist():
             parts = [(np.frombuffer(x["_common"], np.uint64), np.frombuffer(x["_in"], np.int32)) for x in r["_parts"]]
             common, number = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             order = np.argsort(common)
             common, number = common[order], number[order]
-            out: tuple[list, list, list, list] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for i, k, s in _classes(r):
                 at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                 hit = common[at] == s
@@ -341,9 +345,9 @@ def _queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 own, many = s[hit], number[at[hit]]
                 rare = own[np.lexsort((own, many))[: spare + 1]]
-                for col, v in zip(out, (k, r["_labels"][i], s.tobytes(), rare.tobytes()), strict=True):
+                for col, v in zip(out, (k, r["_labels"][i], len(s), 7 * len(own) // 3 - len(s), s.tobytes(), rare.tobytes()), strict=True):
                     col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["_set", "_group", "_tokens", "_rare"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["_set", "_group", "_n", "_most", "_tokens", "_rare"])
 
 
 # --- 5: meetings
@@ -351,9 +355,10 @@ def _queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for k, g, rare in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            t = np.frombuffer(rare, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.full(len(t), k)), pa.array(np.full(len(t), g))], ["_token", "_set", "_group"])
+        rows = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
+        tokens = [np.frombuffer(r[-1], np.int64) for r in rows]
+        each = [np.repeat(np.array([r[i] for r in rows], np.int64), [len(t) for t in tokens]) for i in range(4)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *tokens])), *map(pa.array, each)], ["_token", "_set", "_group", "_n", "_most"])
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,14 +389,15 @@ def _between(chunks: DataFrame, roots: DataFrame, buckets: int) -> DataFrame | N
     matrix = full.mapInArrow(lambda b: _rows_of_matrix(b, buckets), MATRIX).repartitionById(buckets, F.col("_bucket"))
     parts = matrix.mapInArrow(_across, "_chunk long, _common binary, _in binary").groupBy("_chunk").agg(F.collect_list(F.struct("_common", "_in")).alias("_parts"))
     queries = stored(full.join(parts, "_chunk").select("_sets", "_sizes", "_tokens", "_labels", "_parts").mapInArrow(_queries, QUERIES), "queries")
-    counts = queries.groupBy("_group").agg(F.count("*").alias("_n"))
+    counts = queries.groupBy("_group").agg(F.count("*").alias("_size"))
     if queries.isEmpty():
         return None
-    rare = stored(queries.select("_set", "_group", "_rare").mapInArrow(_rare, "_token long, _set long, _group long"), "rare")
-    # A token's groups, once each; the side with the smaller root asks.
-    held = stored(rare.select("_token", F.col("_group").alias("_other")).distinct(), "matrix")
-    meets = stored(rare.join(held, "_token").where("_group < _other").select("_set", "_other").distinct(), "meetings")
-    blocks = queries.join(stored(counts, "groups"), "_group").withColumn("_block", F.pmod(F.xxhash64("_set"), F.ceil(F.col("_n") / BLOCK)))
+    rare = stored(queries.select("_set", "_group", "_n", "_most", "_rare").mapInArrow(_rare, "_token long, _set long, _group long, _n long, _most long"), "rare")
+    # A token's groups, once each, with the sizes that members have and bear; the side with the smaller root asks.
+    held = stored(rare.groupBy("_token", F.col("_group").alias("_other")).agg(F.min("_n").alias("_small"), F.max("_n").alias("_large"), F.max("_most").alias("_bears")), "matrix")
+    fits = "_group < _other AND _small <= _most AND _n <= _bears AND 4 * _large >= 3 * _n AND 4 * _n >= 3 * _small"
+    meets = stored(rare.join(held, "_token").where(fits).select("_set", "_other").distinct(), "meetings")
+    blocks = queries.join(stored(counts, "groups"), "_group").withColumn("_block", F.pmod(F.xxhash64("_set"), F.ceil(F.col("_size") / BLOCK)))
     blocks = blocks.groupBy(F.col("_group").alias("_other"), "_block").agg(F.collect_list(F.struct("_set", "_tokens")).alias("_m"))
     blocks = stored(blocks.select("_other", F.col("_m._set").alias("_members"), F.col("_m._tokens").alias("_each")), "blocks")
     asking = stored(meets.join(queries.select("_set", "_tokens"), "_set"), "asking")
@@ -421,11 +427,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(tasks(docs.sparkSession), -(-total // BUCKET))
     blobs = rows.select("_text").mapInArrow(lambda b: _dealt(b, buckets), BLOBS).repartitionById(buckets, F.col("_bucket"))
     shared = blobs.mapInArrow(_met, SHARED).repartition("_chunk").sortWithinPartitions("_chunk")
-    able = stored(shared.mapInArrow(_summed, "_set long").distinct(), "able")
+    able = stored(shared.mapInArrow(_summed, "_set long, _apart long").groupBy("_set").agg(F.min("_apart").alias("_apart")), "able")
     # One row of each of these classes brings its text.
     one = stored(keyed.join(able, "_set").groupBy("_set").agg(F.min("_row").alias("_row")), "representatives")
     chunks = stored(rows.select("_row", "_text").join(one, "_row").select("_set", "_text").mapInArrow(_chunked, CHUNKS), "tokens")
-    near = stored(_grouped(chunks), "links")
+    near = stored(_grouped(chunks, able), "links")
     roots = stored(components(near), "roots")
     more = _between(chunks, roots, buckets)
     if more is not None:
