@@ -27,7 +27,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held = stored(keyed.select("_id", "_row", F.posexplode("_keys").alias("_pos", "_key")).where("_key IS NOT NULL"), "lines")
     # A null id is one document of its own; it is never the largest unless it is alone.
     counts = held.groupBy("_key").agg((F.count_distinct("_id") + F.max(F.col("_id").isNull().cast("int"))).alias("_n"), F.max("_id").alias("_keep"))
-    common = counts.where(F.col("_n") >= min_docs).select("_key", "_keep")
+    # Written, so that the join deals both sides anew and can split the rows of a very common line over tasks.
+    common = stored(counts.where(F.col("_n") >= min_docs).select("_key", "_keep"), "common")
     lost = held.join(common, "_key").where(~F.col("_id").eqNullSafe(F.col("_keep")))
     return lost.groupBy("_row", "_id").agg(F.sort_array(F.collect_set("_pos")).alias("_drop"))
 
