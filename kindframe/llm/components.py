@@ -16,8 +16,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         near = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    near = stored(near, "near")
-    # Written, so that the join below can split a node of very many neighbours over tasks.
+    # Written, so that the join below deals both sides anew and can split a node of very many neighbours over tasks.
     least = stored(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     met = near.join(least, "a")
     if large:

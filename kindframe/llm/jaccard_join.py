@@ -5,12 +5,14 @@
    sorted arrays; what comes back is how many of a class's tokens are shared. Most classes end here.
 3. Groups of similar classes: those with one least token, under three orders of the tokens. A group's members are held
    against its first; those links and their components make the groups of the matrix.
-4. Token-group matrix: each group's tokens, once for the group whatever its size. The tokens that several groups hold come
-   back with the number of groups, and a class stays a query only if three quarters of its tokens are among them.
-5. A query meets a group if they share one of the query's rarest tokens, as many as an overlap of three quarters cannot
-   all miss. A meeting is opened only if the query's overlap with the union of a block of the group's members reaches
-   three quarters; then it is held against each member.
-Links inside a group are implied by its component; all others are found by 4 and 5, so components are exact (but for
+   A class that links with no first joins the group of a first that it was held against.
+4. Token-group matrix: tokens meet once more, each component's once whatever its size. The tokens that several components
+   hold come back, and a class stays only if three quarters of its tokens are among them.
+5. A class asks a group if they share one of the class's rarest tokens, as many as an overlap of three quarters cannot
+   all miss, if their sizes allow a link, and if the group has larger components than its own. Asking classes meet
+   blocks of the group's members; a block is opened for a class only if its overlap with the block's union reaches three
+   quarters, and then it is held against each member of a larger component.
+Links inside a component are implied; all others are found by 4 and 5, so components are exact (but for
 collisions of 64-bit hashes; 48 bits of them in the buckets can only let more classes through).
 """
 
@@ -29,8 +31,9 @@ from kindframe.llm.components import components
 from kindframe.llm.store import row_key, stored, tasks
 
 WORDS = 5
-#: Tokens sorted together on the map side, tokens of a bucket, classes of a stored chunk and of a block of a group.
-CHUNK, BUCKET, STORED, BLOCK = 2_000_000, 1_500_000, 200_000, 128
+#: Tokens sorted together on the map side, tokens of a bucket, tokens of a stored chunk, and classes of
+#: a block of a group and of a batch that asks it.
+CHUNK, BUCKET, STORED, BLOCK, ASKS = 2_000_000, 1_500_000, 200_000, 128, 64
 MARK = 0xFFFF
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 SEEDS = tuple(np.uint64(s) for s in (0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63))
@@ -266,9 +269,9 @@ def _held_against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
 
 
-def _grouped(chunks: DataFrame, able: DataFrame) -> DataFrame:
-    """Edges (a, b) between classes and the first of the groups they are in: the one of fewest tokens of its own, as an
-    original is nearer to its altered copies than these are to each other."""
+def _grouped(chunks: DataFrame, able: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) between classes and the first of the groups they are in, and all such pairs. The first is the one of fewest
+    tokens of its own, as an original is nearer to its altered copies than these are to each other."""
     members = stored(chunks.mapInArrow(_minima, "_key long, _set long").join(able, "_set"), "minima")
     first = F.min_by("_set", F.struct("_apart", "_set"))
     firsts = members.groupBy("_key").agg(first.alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("_key", "_first")
@@ -278,7 +281,7 @@ def _grouped(chunks: DataFrame, able: DataFrame) -> DataFrame:
     # The first of a large group meets many members: the members bring it along, so that its rows can be split.
     leaders = stored(sets.join(pairs.select(F.col("_first").alias("_set")).distinct(), "_set").select(F.col("_set").alias("_first"), F.col("_tokens").alias("_others")), "leaders")
     met = stored(pairs.join(sets, "_set"), "members").join(leaders, "_first").select("_set", "_tokens", "_first", "_others")
-    return met.mapInArrow(_held_against, "a long, b long")
+    return stored(met.mapInArrow(_held_against, "a long, b long"), "links"), pairs
 
 
 # --- 4: the token-group matrix
@@ -288,12 +291,12 @@ MATRIX = "_bucket int, _chunk long, _tokens binary, _groups binary"
 
 
 def _rows_of_matrix(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Each chunk's distinct (token, group), by bucket. _labels has a group for each class of the chunk."""
+    """Each chunk's distinct (token, component), by bucket. _labels has component, its size and group of each class."""
     limits = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
     for b in batches:
         for r in b.to_pylist():
             tokens, sizes = np.frombuffer(r["_tokens"], np.uint64), np.frombuffer(r["_sizes"], np.int64)
-            groups = np.repeat(np.array(r["_labels"], np.int64), sizes)
+            groups = np.repeat(np.array([x["_c"] for x in r["_labels"]], np.int64), sizes)
             order = np.lexsort((groups, tokens))
             t, g = tokens[order], groups[order]
             new = np.concatenate(([True], (t[1:] != t[:-1]) | (g[1:] != g[:-1])))
@@ -305,7 +308,7 @@ def _rows_of_matrix(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each chunk, those of its tokens that several groups hold, and how many groups."""
+    """For each chunk, those of its tokens that several components hold, and how many."""
     rows = [r for b in batches for r in b.to_pylist()]
     if not rows:
         return
@@ -324,11 +327,11 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r["_chunk"]], pa.int64()), pa.array([own[hit].tobytes()], pa.binary()), pa.array([count[at[hit]].astype(np.int32).tobytes()], pa.binary())], ["_chunk", "_common", "_in"])
 
 
-QUERIES = "_set long, _group long, _n long, _most long, _tokens binary, _rare binary"
+QUERIES = "_set long, _c long, _size long, _group long, _n long, _most long, _tokens binary, _rare binary"
 
 
 def _queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes that can have a partner in another group, with the tokens of which a partner has at least one, and the most
+    """Classes that can have a partner in another component, with the tokens of which a partner has at least one, and the most
     tokens that a partner can have: with s tokens in common at best, 7 s >= 3 (n + most)."""
     for b in batches:
         for r in b.to_pylist():
@@ -336,7 +339,7 @@ def _queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             common, number = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             order = np.argsort(common)
             common, number = common[order], number[order]
-            out: tuple[list, ...] = ([], [], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
             for i, k, s in _classes(r):
                 at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                 hit = common[at] == s
@@ -345,9 +348,10 @@ def _queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 own, many = s[hit], number[at[hit]]
                 rare = own[np.lexsort((own, many))[: spare + 1]]
-                for col, v in zip(out, (k, r["_labels"][i], len(s), 7 * len(own) // 3 - len(s), s.tobytes(), rare.tobytes()), strict=True):
+                own_label = r["_labels"][i]
+                for col, v in zip(out, (k, own_label["_c"], own_label["_size"], own_label["_group"], len(s), 7 * len(own) // 3 - len(s), s.tobytes(), rare.tobytes()), strict=True):
                     col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["_set", "_group", "_n", "_most", "_tokens", "_rare"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (*[pa.int64()] * 6, pa.binary(), pa.binary()), strict=True)], [x.split()[0] for x in QUERIES.split(", ")])
 
 
 # --- 5: meetings
@@ -357,51 +361,68 @@ def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
         tokens = [np.frombuffer(r[-1], np.int64) for r in rows]
-        each = [np.repeat(np.array([r[i] for r in rows], np.int64), [len(t) for t in tokens]) for i in range(4)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *tokens])), *map(pa.array, each)], ["_token", "_set", "_group", "_n", "_most"])
+        each = [np.repeat(np.array([r[i] for r in rows], np.int64), [len(t) for t in tokens]) for i in range(6)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *tokens])), *map(pa.array, each)], ["_token", *[x.split()[0] for x in QUERIES.split(", ")[:6]]])
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_set, _tokens, _members, _each) -> edges: a query against a block of a group, if its overlap with the block's union allows it."""
-    last, union, members = None, None, None
+    """(_asks, _members) -> edges. Both are arrays of (_set, _c, _size, _tokens): asking classes, and a block of a group."""
     for b in batches:
         a, z = [], []
-        for k, s, ids, each in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            s = np.frombuffer(s, np.uint64)
-            if each != last:
-                last, members = each, [np.frombuffer(x, np.uint64) for x in each]
-                union = np.unique(np.concatenate(members))
-            if np.isin(s, union, assume_unique=True).sum() < least_overlap(len(s)):
-                continue
-            for i, m in zip(ids, members, strict=True):
-                if i != k and linked(s, m):
-                    a.append(k)
-                    z.append(i)
+        for asks, members in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            tokens = [np.frombuffer(m["_tokens"], np.uint64) for m in members]
+            every, size = np.concatenate(tokens), np.array([len(t) for t in tokens])
+            starts = np.cumsum(size) - size
+            union = np.unique(every)
+            for x in asks:
+                s = np.frombuffer(x["_tokens"], np.uint64)
+                at = np.minimum(np.searchsorted(union, s), len(union) - 1)
+                if int((union[at] == s).sum()) < least_overlap(len(s)):
+                    continue
+                at = np.minimum(np.searchsorted(s, every), len(s) - 1)
+                both = np.add.reduceat((s[at] == every).astype(np.int64), starts)
+                for i in np.flatnonzero(100 * both >= 75 * (size + len(s) - both)):
+                    m = members[i]
+                    if (m["_size"], m["_c"]) > (x["_size"], x["_c"]):
+                        a.append(x["_set"])
+                        z.append(m["_set"])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
 
 
-def _between(chunks: DataFrame, roots: DataFrame, buckets: int) -> DataFrame | None:
-    """Edges between classes of different groups, or None where no class can have one."""
-    each = chunks.mapInArrow(_members, "_chunk long, _i int, _set long")
-    labelled = each.join(roots.withColumnRenamed("node", "_set"), "_set", "left").select("_chunk", "_i", F.coalesce("root", "_set").alias("_g"))
-    labels = labelled.groupBy("_chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_g"))), lambda x: x["_g"]).alias("_labels"))
+def _between(chunks: DataFrame, roots: DataFrame, pairs: DataFrame, buckets: int) -> DataFrame | None:
+    """Edges between classes of different components, or None where no class can have one."""
+    root = roots.withColumnRenamed("node", "_set")
+    kin = pairs.join(root.select(F.col("_set").alias("_first"), "root"), "_first", "left").groupBy("_set").agg(F.min(F.coalesce("root", "_first")).alias("_kin"))
+    each = chunks.mapInArrow(_members, "_chunk long, _i int, _set long").join(root, "_set", "left").join(kin, "_set", "left")
+    each = stored(each.select("_chunk", "_i", F.coalesce("root", "_set").alias("_c"), F.coalesce("root", "_kin", "_set").alias("_group")), "labels")
+    # Only components of several classes, written, so that the rows of a very large one can be split.
+    sizes = stored(each.groupBy("_c").agg(F.count("*").alias("_size")).where("_size > 1"), "sizes")
+    labelled = each.join(sizes, "_c", "left").withColumn("_size", F.coalesce("_size", F.lit(1)).cast("long"))
+    labels = labelled.groupBy("_chunk").agg(F.array_sort(F.collect_list(F.struct("_i", "_c", "_size", "_group"))).alias("_labels"))
     full = stored(chunks.join(labels, "_chunk"), "chunks")
     matrix = full.mapInArrow(lambda b: _rows_of_matrix(b, buckets), MATRIX).repartitionById(buckets, F.col("_bucket"))
     parts = matrix.mapInArrow(_across, "_chunk long, _common binary, _in binary").groupBy("_chunk").agg(F.collect_list(F.struct("_common", "_in")).alias("_parts"))
     queries = stored(full.join(parts, "_chunk").select("_sets", "_sizes", "_tokens", "_labels", "_parts").mapInArrow(_queries, QUERIES), "queries")
-    counts = queries.groupBy("_group").agg(F.count("*").alias("_size"))
     if queries.isEmpty():
         return None
-    rare = stored(queries.select("_set", "_group", "_n", "_most", "_rare").mapInArrow(_rare, "_token long, _set long, _group long, _n long, _most long"), "rare")
-    # A token's groups, once each, with the sizes that members have and bear; the side with the smaller root asks.
-    held = stored(rare.groupBy("_token", F.col("_group").alias("_other")).agg(F.min("_n").alias("_small"), F.max("_n").alias("_large"), F.max("_most").alias("_bears")), "matrix")
-    fits = "_group < _other AND _small <= _most AND _n <= _bears AND 4 * _large >= 3 * _n AND 4 * _n >= 3 * _small"
+    names = [x.split()[0] for x in QUERIES.split(", ")]
+    rare = stored(queries.select(*names[:6], "_rare").mapInArrow(_rare, "_token long, " + ", ".join(f"{n} long" for n in names[:6])), "rare")
+    # A token's groups, once each, with the sizes that members have and bear, and the largest component.
+    top = F.max(F.struct("_size", "_c")).alias("_top")
+    held = stored(rare.groupBy("_token", F.col("_group").alias("_other")).agg(F.min("_n").alias("_small"), F.max("_n").alias("_large"), F.max("_most").alias("_bears"), top), "matrix")
+    fits = "_small <= _most AND _n <= _bears AND 4 * _large >= 3 * _n AND 4 * _n >= 3 * _small AND struct(_size, _c) < _top"
     meets = stored(rare.join(held, "_token").where(fits).select("_set", "_other").distinct(), "meetings")
-    blocks = queries.join(stored(counts, "groups"), "_group").withColumn("_block", F.pmod(F.xxhash64("_set"), F.ceil(F.col("_size") / BLOCK)))
-    blocks = blocks.groupBy(F.col("_group").alias("_other"), "_block").agg(F.collect_list(F.struct("_set", "_tokens")).alias("_m"))
-    blocks = stored(blocks.select("_other", F.col("_m._set").alias("_members"), F.col("_m._tokens").alias("_each")), "blocks")
-    asking = stored(meets.join(queries.select("_set", "_tokens"), "_set"), "asking")
-    return asking.join(blocks, "_other").select("_set", "_tokens", "_members", "_each").mapInArrow(_opened, "a long, b long")
+
+    def batched(rows: DataFrame, most: int, name: str) -> DataFrame:
+        """Rows of a group, at most about `most` together."""
+        counts = stored(rows.groupBy("_other").agg(F.count("*").alias("_k")), "counts")
+        part = F.pmod(F.xxhash64("_set"), F.ceil(F.col("_k") / most))
+        return stored(rows.join(counts, "_other").groupBy("_other", part.alias("_part")).agg(F.collect_list(F.struct("_set", "_c", "_size", "_tokens")).alias(name)).drop("_part"), name.strip("_"))
+
+    one = queries.select("_set", "_c", "_size", "_tokens", F.col("_group").alias("_other"))
+    members = batched(one, BLOCK, "_members")
+    asks = batched(meets.join(one.drop("_other"), "_set"), ASKS, "_asks")
+    return asks.join(members, "_other").select("_asks", "_members").mapInArrow(_opened, "a long, b long")
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,9 +452,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # One row of each of these classes brings its text.
     one = stored(keyed.join(able, "_set").groupBy("_set").agg(F.min("_row").alias("_row")), "representatives")
     chunks = stored(rows.select("_row", "_text").join(one, "_row").select("_set", "_text").mapInArrow(_chunked, CHUNKS), "tokens")
-    near = stored(_grouped(chunks, able), "links")
+    near, pairs = _grouped(chunks, able)
     roots = stored(components(near), "roots")
-    more = _between(chunks, roots, buckets)
+    more = _between(chunks, roots, pairs, buckets)
     if more is not None:
         roots = stored(components(near.unionAll(more)), "roots")
     whole = keyed.join(roots.withColumnRenamed("node", "_set"), "_set", "left").withColumn("_c", F.coalesce("root", "_set"))
