@@ -35,6 +35,8 @@ WORDS = 5
 #: a block of a group and of a batch that asks it.
 CHUNK, BUCKET, STORED, BLOCK, ASKS = 2_000_000, 1_500_000, 200_000, 128, 64
 MARK = 0xFFFF
+#: Bits of the map of the rows whose texts are asked for, for each of them and at most: 8 MB.
+BITS_EACH, MOST_BITS = 16, 1 << 26
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 SEEDS = tuple(np.uint64(s) for s in (0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63))
 
@@ -208,6 +210,32 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- 3: groups
 
 
+def _asked_for(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Those rows (_row, _text) whose _row is in keys (_row), and some others, so that few texts are shuffled to meet keys.
+
+    A map of bits goes to all tasks, at most MOST_BITS of them; where keys are too many for it to tell, all rows come back.
+    """
+    n = keys.count()
+    if n * 2 > MOST_BITS:
+        return rows
+    bits = 64
+    while bits < min(n * BITS_EACH, MOST_BITS):
+        bits *= 2
+    at = F.pmod(F.xxhash64("_row"), F.lit(bits))
+    words = keys.select(at.alias("_at")).groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_at & 63 AS INT))")).alias("_bits")).toArrow()
+    table = np.zeros(bits // 64, np.uint64)
+    table[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = b.column(2).to_numpy().astype(np.uint64)
+            hit = (shared.value[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1)
+            yield b.select([0, 1]).filter(pa.array(hit.astype(bool)))
+
+    return rows.select("_row", "_text", at.alias("_at")).mapInArrow(kept, "_row long, _text string")
+
+
 CHUNKS = "_chunk long, _sets binary, _sizes binary, _tokens binary"
 
 
@@ -451,7 +479,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     able = stored(shared.mapInArrow(_summed, "_set long, _apart long").groupBy("_set").agg(F.min("_apart").alias("_apart")), "able")
     # One row of each of these classes brings its text.
     one = stored(keyed.join(able, "_set").groupBy("_set").agg(F.min("_row").alias("_row")), "representatives")
-    chunks = stored(rows.select("_row", "_text").join(one, "_row").select("_set", "_text").mapInArrow(_chunked, CHUNKS), "tokens")
+    chunks = stored(_asked_for(rows.select("_row", "_text"), one).join(one, "_row").select("_set", "_text").mapInArrow(_chunked, CHUNKS), "tokens")
     near, pairs = _grouped(chunks, able)
     roots = stored(components(near), "roots")
     more = _between(chunks, roots, pairs, buckets)
