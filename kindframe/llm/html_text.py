@@ -8,9 +8,11 @@ the hash of those tokens (ranks double in depth from round to round, as in prefi
 hold is a repeated substring, so its tokens are covered. No host is gathered anywhere: ranks are grouped, not hosts.
 
 Repetition alone cannot tell the article: copies of a page repeat their articles, and adverts and footers are often
-unique. So coverage decides about blocks that the markup leaves open, those outside an article or main element on a
-page that has one or has neither, while elements that are never article text (FURNITURE, or NAMES in class, id or
-role) go, and a page's article stays with its repeated passages.
+unique. So every block of every page is in the stream, and coverage decides about blocks that the markup leaves open,
+those outside an article or main element on a page that has one or has neither, while elements that are never article
+text (FURNITURE, or NAMES in class, id or role) go, and a page's article stays with its repeated passages. Beside an
+article, an open block of fewer than DEPTH tokens is too short for coverage to tell: it stays if it is in one run of open
+blocks with a longer one that stays.
 """
 
 from __future__ import annotations
@@ -183,9 +185,13 @@ def stream_of(texts: list[str]) -> tuple[list[str], list[int]]:
     return words, owner
 
 
-def uncovered(texts: list[str], covered: set[int], ranks: Ranks) -> list[str]:
-    """The blocks whose tokens are not mostly covered; all of them if none is, as that page is a copy and not furniture."""
-    if not covered:
+def uncovered(texts: list[str], runs: list[int], covered: set[int], ranks: Ranks) -> list[str]:
+    """The article's blocks (run 0) and the open ones whose tokens are not mostly covered.
+
+    On a page without an article all of them if none is, as that page is a copy and not furniture.
+    """
+    article = 0 in runs
+    if not covered and not article:
         return texts
     words, owner = stream_of(texts)
     at, rank = suffixes(words, ranks)
@@ -194,31 +200,46 @@ def uncovered(texts: list[str], covered: set[int], ranks: Ranks) -> list[str]:
         hit[a] += 1
         hit[min(a + DEPTH, len(words))] -= 1
     share = np.bincount(owner, np.cumsum(hit)[:-1] > 0, len(texts)) / np.bincount(owner, minlength=len(texts))
-    return [t for t, s in zip(texts, share, strict=True) if s <= 0.5] or texts
+    if not article:
+        return [t for t, s in zip(texts, share, strict=True) if s <= 0.5] or texts
+    long = np.bincount(owner, minlength=len(texts)) >= DEPTH
+    led = {0, *(r for r, s, k in zip(runs, share, long, strict=True) if k and s <= 0.5)}
+    return [t for t, r, s in zip(texts, runs, share, strict=True) if not r or s <= 0.5 and r in led]
 
 
-PARSED = (("_main", T.StringType()), ("_open", T.ArrayType(T.StringType())), ("_host", T.StringType()), ("_ranks", T.ArrayType(T.LongType())))
+PARSED = (("_main", T.StringType()), ("_texts", T.ArrayType(T.StringType())), ("_runs", T.ArrayType(T.IntegerType())), ("_host", T.StringType()), ("_ranks", T.ArrayType(T.LongType())))
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last two columns, URL and html, become PARSED: the article's text, or else the open blocks, and the page's ranks."""
+    """The last two columns, URL and html, become PARSED.
+
+    Those are the article's text, or else, where blocks are open, those and the article's with the run of each (0 in the
+    article, else counted from 1); the host; and the ranks of all blocks.
+    """
     ranks = Ranks()
     for b in batches:
-        main, open_, hosts, found = [], [], [], []
+        main, texts, runs, hosts, found = [], [], [], [], []
         for url, page in zip(*(c.to_pylist() for c in b.columns[-2:]), strict=True):
             all_of = blocks(page or "")
-            article = [t for t, z in all_of if z == 0]
-            main.append("\n".join(article) if article else None)
-            open_.append(None if article else [t for t, z in all_of if z == 1])
+            kept, run, before = [], 0, 0
+            for t, z in all_of:
+                run += z == 1 != before
+                before = z
+                if z < 2:
+                    kept.append((t, z and run))
+            settled = bool(kept) and not any(r for _, r in kept)
+            main.append("\n".join(t for t, _ in kept) if settled else None)
+            texts.append(None if settled else [t for t, _ in kept])
+            runs.append(None if settled else [r for _, r in kept])
             hosts.append(host(url))
-            words, _ = stream_of([t for t, z in all_of if z])
+            words, _ = stream_of([t for t, _ in all_of])
             found.append(np.unique(suffixes(words, ranks)[1]).view(np.int64))
-        cols = [pa.array(main, pa.string()), pa.array(open_, pa.list_(pa.string())), pa.array(hosts, pa.string()), pa.array(found, pa.list_(pa.int64()))]
+        cols = [pa.array(main, pa.string()), pa.array(texts, pa.list_(pa.string())), pa.array(runs, pa.list_(pa.int32())), pa.array(hosts, pa.string()), pa.array(found, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays([*b.columns[:-2], *cols], [*b.schema.names[:-2], *[n for n, _ in PARSED]])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """pages without html plus text: the article's blocks, joined by newlines; empty if there are none.
+    """pages without html plus text: the article's blocks and the open ones that stay, joined by newlines; empty if there are none.
 
     Null html is empty. Repeated rows stay and count as pages of their own. Pages without a URL or host share the empty
     host. White space is that of ASCII. A column named text is replaced; others pass through, and an empty table gives
@@ -233,14 +254,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     held = parsed.select("_host", F.explode("_ranks").alias("_rank")).groupBy("_host", "_rank").agg(F.count("*").alias("_n")).where(F.col("_n") >= LEAST_PAGES)
     undecided = parsed.where("_main IS NULL")
     mine = undecided.select("_page", "_host", F.explode("_ranks").alias("_rank")).join(held, ["_host", "_rank"]).groupBy("_page").agg(F.collect_list("_rank").alias("_covered"))
-    told = undecided.join(mine, "_page", "left").select(*names.values(), "_open", "_covered")
+    told = undecided.join(mine, "_page", "left").select(*names.values(), "_texts", "_runs", "_covered")
     out = T.StructType([*[f for f in told.schema if f.name in names.values()], T.StructField("_text", T.StringType())])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = Ranks()
         for b in batches:
-            texts = ["\n".join(uncovered(o or [], set(c or ()), ranks)) for o, c in zip(*(c.to_pylist() for c in b.columns[-2:]), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(texts, pa.string())], [*b.schema.names[:-2], "_text"])
+            texts = ["\n".join(uncovered(t or [], r or [], set(c or ()), ranks)) for t, r, c in zip(*(c.to_pylist() for c in b.columns[-3:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(texts, pa.string())], [*b.schema.names[:-3], "_text"])
 
     both = parsed.where("_main IS NOT NULL").select(*names.values(), F.col("_main").alias("_text")).unionAll(told.mapInArrow(decide, out))
     return both.select(*[F.col(n).alias(c) for c, n in names.items()], F.col("_text").alias("text"))

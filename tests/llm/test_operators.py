@@ -422,6 +422,16 @@ def test_repeated_blocks_of_a_host_go(spark):
     assert out == {i: own(i) for i in range(4)} | {9: foot}
 
 
+def test_coverage_decides_beside_an_article(spark):
+    foot = "All rights reserved by the example company and its many friends around here"
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(14))
+    page = lambda i: f"<article><p>{own(i)}</p><p>{foot} {i}</p></article><div>{foot}</div><div>stray</div><nav>n</nav><h2>Note {i}</h2><div>{own(-i - 1)}</div>"
+    rows = [(i, "http://h.example/", page(i)) for i in range(4)] + [(8, "http://h.example/", f"<main>{own(8)}</main><p>{own(2)}</p>")]
+    rows += [(9 + k, "http://h.example/", f"<article>{own(20 + k)}</article><p>{own(2)}</p>") for k in range(2)]
+    out = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: f"{own(i)}\n{foot} {i}\nNote {i}\n{own(-i - 1)}" for i in range(4)} | {8: own(8), 9: own(20), 10: own(21)}
+
+
 def test_sparse_suffixes_choose_equal_places():
     r = random.Random(8)
     ranks, body = html_text.Ranks(), [f"t{r.randrange(50)}" for _ in range(300)]
