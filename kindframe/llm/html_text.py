@@ -4,8 +4,13 @@ A page becomes blocks of text with the elements that enclose them. The blocks' w
 streams of a host, one after another with a separator that occurs once, are its text. Its suffix array is built sparsely
 and only to a depth of DEPTH tokens: suffixes are taken at the positions whose token hash is least among its
 neighbours', which chooses the same positions in equal substrings, and suffixes that agree on DEPTH tokens get one rank,
-the hash of those tokens (ranks double in depth from round to round, as in prefix doubling). A rank that distinct pages
-hold is a repeated substring, so its tokens are covered. No host is gathered anywhere: ranks are grouped, not hosts.
+the hash of those tokens (ranks double in depth from round to round, as in prefix doubling). A longer repeat is a row of
+such suffixes, so deeper ranks would cover no other tokens. Blocks too short to hold a chosen suffix for certain have a
+rank of their own, that of the whole block. No host is gathered anywhere: ranks are grouped, not hosts.
+
+Near-equal pages of a host (by bands of least hashes of their article and open blocks' ranks, linked to components) are
+one class. A rank that pages of two classes hold is a repeated substring, so its tokens are covered: copies of one page
+do not make its text boilerplate.
 
 Repetition alone cannot tell the article: copies of a page repeat their articles, and adverts and footers are often
 unique. So every block of every page is in the stream, and coverage decides about blocks that the markup leaves open,
@@ -28,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kindframe.llm.components import components
 from kindframe.llm.store import stored
 
 # Fixed element names of HTML, by what they mean here.
@@ -43,7 +49,10 @@ ENDS_P = BLOCK - frozenset("br option optgroup body html head caption td th tr t
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S)
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
-DEPTH, NEAR, LEAST_PAGES = 8, 4, 3
+DEPTH, NEAR = 8, 4
+#: Pages that agree in all hashes of one of BANDS bands are near-equal: nearly always from a likeness of 0.85, hardly ever below 0.5.
+BANDS, HASHES = 16, 8
+SEEDS = np.random.default_rng(10).integers(0, 1 << 64, (BANDS * HASHES, 1), np.uint64) | np.uint64(1)
 WHITE = " \t\n\r\f\v"
 
 
@@ -154,16 +163,21 @@ class Ranks(dict):
         return v
 
 
+def ranked(words: list[str], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
+    """The first ranks of all tokens, and the ranks at DEPTH of all suffixes that are that long."""
+    first = rank = np.fromiter(map(ranks.__getitem__, words), np.uint64, len(words))
+    depth = 1
+    while depth < DEPTH:
+        rank = _mix(rank[: max(len(rank) - depth, 0)] * np.uint64(0x9E3779B97F4A7C15) + rank[depth:])
+        depth *= 2
+    return first, rank
+
+
 def suffixes(words: list[str], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
     """Positions and ranks of the sparse suffixes of a stream that are at least DEPTH tokens long."""
-    n = len(words)
-    if n < DEPTH:
+    if len(words) < DEPTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    rank = np.fromiter(map(ranks.__getitem__, words), np.uint64, n)
-    first, depth = rank, 1
-    while depth < DEPTH:
-        rank = _mix(rank[: len(rank) - depth] * np.uint64(0x9E3779B97F4A7C15) + rank[depth:])
-        depth *= 2
+    first, rank = ranked(words, ranks)
     m = len(rank)
     around = np.lib.stride_tricks.sliding_window_view(np.concatenate((np.full(NEAR - 1, ~np.uint64(0)), _mix(first[:m]), np.full(NEAR - 1, ~np.uint64(0)))), NEAR).min(axis=1)
     # A position is taken if it is the least of some window of NEAR positions.
@@ -185,21 +199,49 @@ def stream_of(texts: list[str]) -> tuple[list[str], list[int]]:
     return words, owner
 
 
-def uncovered(texts: list[str], runs: list[int], covered: set[int], ranks: Ranks) -> list[str]:
-    """The article's blocks (run 0) and the open ones whose tokens are not mostly covered.
+def whole(text: str) -> int | None:
+    """The rank of a block that is too short to hold a chosen suffix for certain."""
+    own = text.split()
+    return xxhash.xxh3_64_intdigest("\x00".join(("", *own))) if len(own) < DEPTH + NEAR - 1 else None
+
+
+def found(texts: list[str], ranks: Ranks, host: int) -> np.ndarray:
+    """The distinct ranks of blocks, of their host."""
+    short = np.array([w for t in texts if (w := whole(t)) is not None], np.uint64)
+    return np.unique(_mix(np.concatenate((suffixes(stream_of(texts)[0], ranks)[1], short)) ^ np.uint64(host)))
+
 
-    On a page without an article all of them if none is, as that page is a copy and not furniture.
+def bands(rank: np.ndarray) -> np.ndarray:
+    """A hash of each band's least hashes, and so of a page without ranks none."""
+    if not len(rank):
+        return np.zeros(0, np.uint64)
+    # Ranks are hashes already, so odd factors give hashes of them.
+    least = np.min([(rank[i : i + 4096] * SEEDS).min(axis=1) for i in range(0, len(rank), 4096)], axis=0).reshape(BANDS, HASHES)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for k in range(HASHES):
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + least[:, k])
+    return out
+
+
+def uncovered(texts: list[str], runs: list[int], host: int, covered: set[int], ranks: Ranks) -> list[str]:
+    """The article's blocks (run 0) and the open ones that are not covered, as a whole or mostly.
+
+    On a page without an article all of them if none is, as that page repeats others' texts and is not furniture.
     """
     article = 0 in runs
     if not covered and not article:
         return texts
     words, owner = stream_of(texts)
-    at, rank = suffixes(words, ranks)
+    of_host = lambda x: _mix(x ^ np.uint64(host)).view(np.int64).tolist()
     hit = np.zeros(len(words) + 1, np.int64)
-    for a in at[[int(r) in covered for r in rank.view(np.int64)]]:
-        hit[a] += 1
-        hit[min(a + DEPTH, len(words))] -= 1
+    for a, r in enumerate(of_host(ranked(words, ranks)[1])):
+        if r in covered:
+            hit[a] += 1
+            hit[a + DEPTH] -= 1
     share = np.bincount(owner, np.cumsum(hit)[:-1] > 0, len(texts)) / np.bincount(owner, minlength=len(texts))
+    for i, t in enumerate(texts):
+        if (w := whole(t)) is not None and of_host(np.array([w], np.uint64))[0] in covered:
+            share[i] = 1
     if not article:
         return [t for t, s in zip(texts, share, strict=True) if s <= 0.5] or texts
     long = np.bincount(owner, minlength=len(texts)) >= DEPTH
@@ -207,18 +249,19 @@ def uncovered(texts: list[str], runs: list[int], covered: set[int], ranks: Ranks
     return [t for t, r, s in zip(texts, runs, share, strict=True) if not r or s <= 0.5 and r in led]
 
 
-PARSED = (("_main", T.StringType()), ("_texts", T.ArrayType(T.StringType())), ("_runs", T.ArrayType(T.IntegerType())), ("_host", T.StringType()), ("_ranks", T.ArrayType(T.LongType())))
+PARSED = (("_main", T.StringType()), ("_texts", T.ArrayType(T.StringType())), ("_runs", T.ArrayType(T.IntegerType())), ("_host", T.LongType()), ("_ranks", T.ArrayType(T.LongType())), ("_bands", T.ArrayType(T.LongType())))
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last two columns, URL and html, become PARSED.
 
     Those are the article's text, or else, where blocks are open, those and the article's with the run of each (0 in the
-    article, else counted from 1); the host; and the ranks of all blocks.
+    article, else counted from 1); the host's hash; where blocks are open, the ranks of those and the article's; and
+    their bands.
     """
     ranks = Ranks()
     for b in batches:
-        main, texts, runs, hosts, found = [], [], [], [], []
+        main, texts, runs, hosts, held, like = [], [], [], [], [], []
         for url, page in zip(*(c.to_pylist() for c in b.columns[-2:]), strict=True):
             all_of = blocks(page or "")
             kept, run, before = [], 0, 0
@@ -231,13 +274,24 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             main.append("\n".join(t for t, _ in kept) if settled else None)
             texts.append(None if settled else [t for t, _ in kept])
             runs.append(None if settled else [r for _, r in kept])
-            hosts.append(host(url))
-            words, _ = stream_of([t for t, _ in all_of])
-            found.append(np.unique(suffixes(words, ranks)[1]).view(np.int64))
-        cols = [pa.array(main, pa.string()), pa.array(texts, pa.list_(pa.string())), pa.array(runs, pa.list_(pa.int32())), pa.array(hosts, pa.string()), pa.array(found, pa.list_(pa.int64()))]
+            own = xxhash.xxh3_64_intdigest(host(url))
+            hosts.append(own)
+            rank = found([t for t, _ in kept], ranks, own)
+            held.append(None if settled else rank.view(np.int64))
+            like.append(bands(rank).view(np.int64))
+        cols = [pa.array(main, pa.string()), pa.array(texts, pa.list_(pa.string())), pa.array(runs, pa.list_(pa.int32())), pa.array(np.array(hosts, np.uint64).view(np.int64)), pa.array(held, pa.list_(pa.int64())), pa.array(like, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays([*b.columns[:-2], *cols], [*b.schema.names[:-2], *[n for n, _ in PARSED]])
 
 
+def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Key, URL and html become the key, the host's hash and the ranks of all blocks."""
+    ranks = Ranks()
+    for b in batches:
+        hosts = np.array([xxhash.xxh3_64_intdigest(host(url)) for url in b.column(1).to_pylist()], np.uint64)
+        of = [found([t for t, _ in blocks(page or "")], ranks, int(h)).view(np.int64) for h, page in zip(hosts, b.column(2).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hosts.view(np.int64)), pa.array(of, pa.list_(pa.int64()))], ["_key", "_host", "_ranks"])
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """pages without html plus text: the article's blocks and the open ones that stay, joined by newlines; empty if there are none.
 
@@ -247,21 +301,30 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     keep = [c for c in pages.columns if c not in (html_col, "text")]
     names = {c: f"_k{i}" for i, c in enumerate(keep)}
-    rows = pages.select(F.monotonically_increasing_id().alias("_page"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col(url_col).cast("string").alias("_url"), F.col(html_col).alias("_html"))
+    url, page = F.col(url_col).cast("string"), F.col(html_col)
+    key = F.xxhash64(F.coalesce(url, F.lit("")), F.coalesce(page, F.lit("")))
+    rows = pages.select(F.monotonically_increasing_id().alias("_page"), key.alias("_key"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()], url.alias("_url"), page.alias("_html"))
     schema = T.StructType([f for f in rows.schema if f.name not in ("_url", "_html")] + [T.StructField(*f) for f in PARSED])
     parsed = stored(rows.mapInArrow(_parsed, schema), "blocks")
-    # A rank is distinct within its page, so its number is that of the pages that hold it.
-    held = parsed.select("_host", F.explode("_ranks").alias("_rank")).groupBy("_host", "_rank").agg(F.count("*").alias("_n")).where(F.col("_n") >= LEAST_PAGES)
     undecided = parsed.where("_main IS NULL")
-    mine = undecided.select("_page", "_host", F.explode("_ranks").alias("_rank")).join(held, ["_host", "_rank"]).groupBy("_page").agg(F.collect_list("_rank").alias("_covered"))
-    told = undecided.join(mine, "_page", "left").select(*names.values(), "_texts", "_runs", "_covered")
+    banded = parsed.select("_key", F.explode("_bands").alias("_band"))
+    shared = stored(banded.groupBy("_band").agg(F.min("_key").alias("b"), F.max("_key").alias("_last")).where("b < _last").select("_band", "b"), "bands")
+    classes = stored(components(banded.join(shared, "_band").select(F.col("_key").alias("a"), "b")), "page-classes")
+    # Ranks of all pages are many, so pages are read again for them, and those of hosts without open blocks give none.
+    hosts = stored(undecided.select("_host").distinct(), "hosts")
+    met = pages.select(key.alias("_key"), url.alias("_url"), page.alias("_html")).mapInArrow(_ranks, "_key long, _host long, _ranks array<long>").join(hosts, "_host", "left_semi")
+    # Of which class a page is: its own, if no other page is like it.
+    by_page = met.join(classes.withColumnRenamed("node", "_key"), "_key", "left").select(F.coalesce("root", "_key").alias("_class"), F.explode("_ranks").alias("_rank"))
+    held = by_page.groupBy("_rank").agg(F.min("_class").alias("_least"), F.max("_class").alias("_most")).where("_least < _most").select("_rank")
+    mine = undecided.select("_page", F.explode("_ranks").alias("_rank")).join(held, "_rank").groupBy("_page").agg(F.collect_list("_rank").alias("_covered"))
+    told = undecided.join(mine, "_page", "left").select(*names.values(), "_texts", "_runs", "_host", "_covered")
     out = T.StructType([*[f for f in told.schema if f.name in names.values()], T.StructField("_text", T.StringType())])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = Ranks()
         for b in batches:
-            texts = ["\n".join(uncovered(t or [], r or [], set(c or ()), ranks)) for t, r, c in zip(*(c.to_pylist() for c in b.columns[-3:]), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(texts, pa.string())], [*b.schema.names[:-3], "_text"])
+            texts = ["\n".join(uncovered(t or [], r or [], h % (1 << 64), set(c or ()), ranks)) for t, r, h, c in zip(*(c.to_pylist() for c in b.columns[-4:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-4], pa.array(texts, pa.string())], [*b.schema.names[:-4], "_text"])
 
     both = parsed.where("_main IS NOT NULL").select(*names.values(), F.col("_main").alias("_text")).unionAll(told.mapInArrow(decide, out))
     return both.select(*[F.col(n).alias(c) for c, n in names.items()], F.col("_text").alias("text"))

@@ -432,6 +432,26 @@ def test_coverage_decides_beside_an_article(spark):
     assert out == {i: f"{own(i)}\n{foot} {i}\nNote {i}\n{own(-i - 1)}" for i in range(4)} | {8: own(8), 9: own(20), 10: own(21)}
 
 
+def test_copies_of_a_page_are_one_class(spark):
+    own = lambda i, n=14: " ".join(f"w{i}x{j}" for j in range(n))
+    page = lambda *texts: "<body>" + "".join(f"<div>{t}</div>" for t in texts)
+    body, foot = [own(k, 60) for k in range(5)], "Contact us by mail or telephone on working days until noon please"
+    near = [page("Home News Help", *body, own(100 + k), foot) for k in range(3)]
+    same = [page("Home News Help", *(own(200 + k, 40) for k in range(4)), foot)] * 3
+    last = [page("Home News Help", own(300), foot), page(own(301), own(302))]
+    rows = [(i, "http://h.example/", p) for i, p in enumerate(near + same + last)]
+    out = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = ["\n".join((*body, own(100 + k))) for k in range(3)] + ["\n".join(own(200 + k, 40) for k in range(4))] * 3 + [own(300), f"{own(301)}\n{own(302)}"]
+    assert out == dict(enumerate(want))
+
+
+def test_runs_of_two_pages_are_covered(spark):
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(14))
+    rows = [(i, "http://h.example/", f"<div>About Terms</div><div>{own(i)}</div><div>{own(9)}</div>") for i in range(2)]
+    out = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: own(i) for i in range(2)}
+
+
 def test_sparse_suffixes_choose_equal_places():
     r = random.Random(8)
     ranks, body = html_text.Ranks(), [f"t{r.randrange(50)}" for _ in range(300)]
