@@ -461,12 +461,17 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, set_id, row_key) for each row of docs.
+    """_linked without the root."""
+    return _linked(docs, id_col, text_col).drop("_root")
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, n_shingles, component_id, set_id, row_key, _root) for each row of docs.
 
     A set is the distinct five-word shingles of the words (A-Z lower-cased, parted by ASCII white space); of fewer words,
     their whole sequence. Two rows link if 100 * intersection >= 75 * union of their sets; component_id is the smallest
     id that links reach. A text that is null or has no words has an empty set and links with nothing: its component is
-    its own id. Repeated rows stay; null ids take part and are no component's id unless it has no other. Other columns
+    its own id. _root is the same for rows of one component and no others, whatever their ids. Repeated rows stay; null ids take part and are no component's id unless it has no other. Other columns
     are ignored; an empty table gives an empty table.
     """
     rows = docs.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col)).alias("_row"), F.col(text_col).alias("_text"))
@@ -489,7 +494,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = stored(whole.select("_id", "_row", "_n", "_set", "_c"), "members")
     least = whole.where("_n > 0").groupBy("_c").agg(F.min("_id").alias("_least"), F.count("*").alias("_size")).where("_size > 1").select("_c", "_least")
     out = whole.join(stored(least, "least"), "_c", "left")
-    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(F.col("_n") > 0, F.coalesce("_least", "_id")).otherwise(F.col("_id")).alias("component_id"), F.col("_set").alias("set_id"), F.col("_row").alias("row_key"))
+    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(F.col("_n") > 0, F.coalesce("_least", "_id")).otherwise(F.col("_id")).alias("component_id"), F.col("_set").alias("set_id"), F.col("_row").alias("row_key"), F.col("_c").alias("_root"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -497,13 +502,20 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Of rows that repeat that id with other texts, those of the smallest row key stay, and of equal rows one.
     """
-    told = near_duplicates(docs, id_col, text_col)
+    told = _linked(docs, id_col, text_col)
     best = F.struct(F.col(id_col).isNull(), F.col(id_col), "row_key")
-    stay = told.where("n_shingles > 0").groupBy(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("#"), "set_id")).alias("_c")).agg(F.min(best).alias("_b")).select(F.col("_b.row_key").alias("_stay"))
-    empty = told.where("n_shingles = 0").select(F.col("row_key").alias("_stay"))
+    kept = told.where("n_shingles > 0").groupBy("_root").agg(F.min(best).alias("_b")).select(F.col("_b.row_key").alias("_stay"))
+    empty = told.where("n_shingles = 0").select(F.col("row_key").alias("_stay")).distinct()
+    # Keys of more than one row, of which a component keeps one.
+    again = told.where("n_shingles > 0").groupBy("row_key").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("row_key").alias("_stay"), F.lit(True).alias("_many"))
+    stay = stored(kept.unionAll(empty).join(again, "_stay", "left"), "stay")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     key = row_key(F.col("_doc").getField(id_col), F.col("_doc").getField(text_col))
-    return packed.withColumn("_row", key).join(stored(stay.unionAll(empty).distinct(), "stay"), F.col("_row") == F.col("_stay"), "left_semi").select("_doc.*")
+    keyed = packed.withColumn("_row", key)
+    single = keyed.join(stay.where("_many IS NULL"), F.col("_row") == F.col("_stay"), "left_semi").select("_doc.*")
+    # Partial aggregation sends one row of a key a task.
+    first = keyed.join(stay.where("_many"), F.col("_row") == F.col("_stay"), "left_semi").groupBy("_row").agg(F.first("_doc").alias("_doc")).select("_doc.*")
+    return single.unionAll(first)
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -335,6 +335,16 @@ def test_near_duplicates_of_odd_tables(spark):
     assert got == sorted(map(repr, [(None, 2, 5), (5, 2, 5), (1, 0, 1), (1, 0, 1), (5, 1, 5)]))
 
 
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a)] * 3 + [(2, a), (7, b), (7, c), (8, c), (None, " ".join(f"n{i}" for i in range(40))), (None, " ".join(f"n{i}" for i in range(39))), (9, ""), (9, ""), (None, None)]
+    docs = table(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(3)
+    out = jaccard_join.one_of_each(docs)
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, r.text[:2] if r.text else r.text) for r in out.collect())
+    assert got == {(1, "a0"): 1, (7, "b0"): 1, (7, "c0"): 1, (None, "n0"): 1, (9, ""): 2, (None, None): 1}
+
+
 def test_connected_components(spark):
     r = random.Random(6)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(250)] + [(k, k + 1) for k in range(1000, 1040)]
