@@ -64,22 +64,21 @@ def pack(lengths: list[int], room: int = LENGTH) -> list[list[tuple[int, int, in
     count = -(-sum(lengths) // room)
     bins: list[list[tuple[int, int, int]]] = [[] for _ in range(count)]
     free = [room] * count
-    heap = [(0.0, b) for b in range(count)]
+    # Sequences by free room, the lowest cost first in each; only the rooms that occur are looked at.
+    by_room = {room: [(0.0, b) for b in range(count)]} if count else {}
     left: list[int] = []
     for i in order:
-        # The lowest cost has the most room, nearly; sequences without room for this piece wait for a smaller one.
-        full = []
-        while heap and free[heap[0][1]] < lengths[i] and len(full) < 8:
-            full.append(heapq.heappop(heap))
-        if heap and free[heap[0][1]] >= lengths[i]:
-            spent, b = heapq.heappop(heap)
-            bins[b].append((i, 0, lengths[i]))
-            free[b] -= lengths[i]
-            full.append((spent + cost(lengths[i]), b))
-        else:
+        fitting = [(heap[0], r) for r, heap in by_room.items() if r >= lengths[i]]
+        if not fitting:
             left.append(i)
-        for x in full:
-            heapq.heappush(heap, x)
+            continue
+        (spent, b), r = min(fitting)
+        heapq.heappop(by_room[r])
+        if not by_room[r]:
+            del by_room[r]
+        bins[b].append((i, 0, lengths[i]))
+        free[b] -= lengths[i]
+        heapq.heappush(by_room.setdefault(free[b], []), (spent + cost(lengths[i]), b))
     # What found no room fills the rooms that are left, and so does what the emptiest sequence holds: only that one,
     # which comes last, can then be short.
     if count:

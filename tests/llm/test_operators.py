@@ -203,6 +203,25 @@ def test_pack_balances_cost():
 # --- 5
 
 
+def test_pack_finds_the_cheapest_sequence_with_room():
+    r = random.Random(3)
+    for _ in range(300):
+        lengths = [r.choice((1000, 900, 520, 500, 100, 60, 24, 3)) for _ in range(r.randint(10, 60))]
+        free, spent = [1024] * -(-sum(lengths) // 1024), Counter()
+        cut, put = [], {}
+        for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+            room = [b for b in range(len(free)) if free[b] >= lengths[i]]
+            if room:
+                b = min(room, key=lambda b: (spent[b], b))
+                put[i], free[b], spent[b] = b, free[b] - lengths[i], spent[b] + packing.cost(lengths[i])
+            else:
+                cut.append(i)
+        last = max(range(len(free)), key=lambda b: (free[b], b))
+        for b, pieces in enumerate(packing.pack(lengths)):
+            if b != last:
+                assert {i for i, _, _ in pieces} - set(cut) - {i for i in put if put[i] == last} == {i for i in put if put[i] == b}
+
+
 def test_packages_round_trip(spark, tmp_path):
     rows = [(1, None, "x" * 200), (2, "http://a b/é\r\nx", "x" * 200), (3, "u", None), (4, "u", "ab"), (None, "u", "x" * 200), (6, "u", "ab"), (1, "again", "x" * 200), (7, "long", "é🙂" * 100_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
