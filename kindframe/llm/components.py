@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindframe.llm.store import stored
+from kindframe.llm.store import dropped, stored
 
+#: A bound that no table meets: the rounds grow with the logarithm of the number of nodes.
 ROUNDS = 60
 
 
@@ -23,11 +24,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
-    return stored(out.where("a <> b").distinct(), "edges")
+    out = stored(out.where("a <> b").distinct(), "edges")
+    dropped(least, edges)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of edges (a, b: long); root is the smallest node of its component.
+    """(node, root), a stored table, for each node of edges (a, b: long); root is the smallest node of its component.
 
     Loops and repeated edges do no harm, nulls are left out, and no edges give no rows.
     """
@@ -39,4 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    else:
+        raise RuntimeError(f"components are not settled after {ROUNDS} rounds")
+    out = stored(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "components")
+    dropped(now)
+    return out

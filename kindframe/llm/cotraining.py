@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kindframe.llm.store import each, slim
+
 MOST_LABELLED, MOST_POOL, ROUNDS, FOLDS = 6000, 3000, 3, 4
 #: Rows that must have a feature for it to count.
 LEAST = 3
@@ -40,7 +42,7 @@ class Numbers(dict):
     """Feature name -> number below 2^BITS. Emptied when large, as it only saves time."""
 
     def __missing__(self, name: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 120_000:
             self.clear()
         self[name] = v = zlib.crc32(name.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
         return v
@@ -203,11 +205,12 @@ def _cotrained(xc: list[np.ndarray], xp: np.ndarray, y: np.ndarray, uc: list[np.
     return Head(w[0].astype(np.float32), w[1], cal, (max(float(mix[0]), 0.0), max(float(mix[1]), 0.0), float(mix[2])))
 
 
+@slim
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     numbers = Numbers()
     for b in batches:
         c, p = [], []
-        for text, lang, source in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+        for text, lang, source in zip(*(each(b.column(i)) for i in range(3)), strict=True):
             c.append(content(text or "", numbers).tobytes())
             p.append(page(text or "", lang, source).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()), pa.array(p, pa.binary()), b.column(3), b.column(4), b.column(5)], ["_c", "_p", "_quality", "_toxic", "_order"])
@@ -253,11 +256,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str =
     schema = T.StructType([*[f for f in rows.schema if f.name.startswith("_k")], T.StructField("_q", T.DoubleType()), T.StructField("_t", T.DoubleType())])
     heads = [model.heads.get(h) for h in HEADS]
 
+    @slim
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = Numbers()
         for b in batches:
             zc, zp = np.zeros((len(heads), b.num_rows)), []
-            for i, (text, lang, source) in enumerate(zip(*(c.to_pylist() for c in b.columns[-3:]), strict=True)):
+            for i, (text, lang, source) in enumerate(zip(*(each(c) for c in b.columns[-3:]), strict=True)):
                 at = content(text, numbers)
                 zp.append(page(text, lang, source))
                 for k, h in enumerate(heads):

@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindframe.llm.components import components
-from kindframe.llm.store import row_key, stored, tasks
+from kindframe.llm.store import dropped, each, records, row_key, slim, stored, tasks
 
 WORDS = 5
-#: Tokens sorted together on the map side, tokens of a bucket, tokens of a stored chunk, and classes of
-#: a block of a group and of a batch that asks it.
-CHUNK, BUCKET, STORED, BLOCK, ASKS = 2_000_000, 1_500_000, 200_000, 128, 64
+#: Tokens sorted together on the map side, tokens of a bucket, and tokens of a stored chunk.
+CHUNK, BUCKET, STORED = 800_000, 1_000_000, 150_000
+#: Classes and tokens of a block of a group, and of a batch that asks it: whichever is reached first.
+BLOCK, ASKS, BLOCK_TOKENS = 128, 64, 200_000
 MARK = 0xFFFF
 #: Bits of the map of the rows whose texts are asked for, for each of them and at most: 8 MB.
 BITS_EACH, MOST_BITS = 16, 1 << 26
@@ -52,7 +53,7 @@ class Words(dict):
     """Word -> 64-bit hash. Emptied when large, as it only saves time."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 120_000:
             self.clear()
         self[word] = v = xxhash.xxh3_64_intdigest(word)
         return v
@@ -91,12 +92,13 @@ def least_overlap(n: int) -> int:
 # --- 1 and 2: classes, and those whose tokens others share
 
 
+@slim
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """_id, _row, _text -> _id, _row, _n, _set."""
     words = Words()
     for b in batches:
         n, keys = [], []
-        for t in b.column(2).to_pylist():
+        for t in each(b.column(2)):
             s = shingles(t, words)
             n.append(len(s))
             keys.append(set_key(s))
@@ -106,6 +108,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 BLOBS = "_bucket int, _chunk long, _keys binary, _sets binary, _sizes binary"
 
 
+@slim
 def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Sorted keys (48 bits of a token, 16 of its owner in the chunk) by bucket; and each chunk's sets once, to some bucket."""
     words, serial, base = Words(), 0, TaskContext.get().partitionId() << 24
@@ -137,7 +140,7 @@ def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
             x.clear()
 
     for b in batches:
-        for t in b.column(0).to_pylist():
+        for t in each(b.column(0)):
             s = shingles(t, words)
             if not len(s) or (k := set_key(s)) in seen:
                 continue
@@ -155,12 +158,13 @@ def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
 SHARED = "_chunk long, _owners binary, _counts binary, _sets binary, _sizes binary"
 
 
+@slim
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A bucket's keys -> for each chunk, its owners' numbers of tokens that other sets have too."""
     names = [x.split()[0] for x in SHARED.split(", ")]
     blobs = []
     for b in batches:
-        for r in b.to_pylist():
+        for r in records(b):
             if r["_keys"] is None:
                 yield pa.RecordBatch.from_arrays([pa.array([r["_chunk"]], pa.int64()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([r["_sets"]], pa.binary()), pa.array([r["_sizes"]], pa.binary())], names)
             else:
@@ -181,6 +185,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([owners.astype(np.uint16).tobytes()], pa.binary()), pa.array([counts.astype(np.int32).tobytes()], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.binary())], names)
 
 
+@slim
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets of whose tokens three quarters are shared, and how many in 1000 are not; rows come in order of chunk."""
     state: list = [None, [], None, None]
@@ -194,7 +199,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(key[able]), pa.array((1000 * (size - total) // size)[able])], ["_set", "_apart"])
 
     for b in batches:
-        for r in b.to_pylist():
+        for r in records(b):
             if r["_chunk"] != state[0]:
                 if state[0] is not None:
                     yield close()
@@ -239,6 +244,7 @@ def _asked_for(rows: DataFrame, keys: DataFrame) -> DataFrame:
 CHUNKS = "_chunk long, _sets binary, _sizes binary, _tokens binary"
 
 
+@slim
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """_set, _text -> chunks of classes with their tokens."""
     words, serial, base = Words(), 0, TaskContext.get().partitionId() << 24
@@ -248,7 +254,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pydict({"_chunk": [base + serial], "_sets": [np.array(sets, np.int64).tobytes()], "_sizes": [np.array([len(t) for t in tokens], np.int64).tobytes()], "_tokens": [np.concatenate(tokens).tobytes()]})
 
     for b in batches:
-        for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for k, t in zip(*(each(c) for c in b.columns), strict=True):
             s = shingles(t, words)
             sets.append(k)
             tokens.append(s)
@@ -267,10 +273,11 @@ def _classes(r: dict) -> Iterator[tuple[int, int, np.ndarray]]:
         at += n
 
 
+@slim
 def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(_key, _set, _tokens) for each class and order of the tokens; the tokens themselves are not copied here."""
     for b in batches:
-        for r in b.to_pylist():
+        for r in records(b):
             key, own = [], []
             for _, k, s in _classes(r):
                 for seed in SEEDS:
@@ -279,18 +286,20 @@ def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(own, pa.int64())], ["_key", "_set"])
 
 
+@slim
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for r in b.to_pylist():
+        for r in records(b):
             found = list(_classes(r))
             yield pa.RecordBatch.from_arrays([pa.array([k for _, k, _ in found], pa.int64()), pa.array([s.tobytes() for *_, s in found], pa.binary())], ["_set", "_tokens"])
 
 
+@slim
 def _held_against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(_set, _tokens, _first, _others) -> edges."""
     for b in batches:
         a, z = [], []
-        for k, s, first, others in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for k, s, first, others in zip(*(each(c) for c in b.columns), strict=True):
             if linked(np.frombuffer(s, np.uint64), np.frombuffer(others, np.uint64)):
                 a.append(k)
                 z.append(first)
@@ -300,16 +309,19 @@ def _held_against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _grouped(chunks: DataFrame, able: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b) between classes and the first of the groups they are in, and all such pairs. The first is the one of fewest
     tokens of its own, as an original is nearer to its altered copies than these are to each other."""
-    members = stored(chunks.mapInArrow(_minima, "_key long, _set long").join(able, "_set"), "minima")
+    minima = stored(chunks.mapInArrow(_minima, "_key long, _set long").join(able, "_set"), "minima")
     first = F.min_by("_set", F.struct("_apart", "_set"))
-    firsts = members.groupBy("_key").agg(first.alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("_key", "_first")
-    pairs = members.join(stored(firsts, "firsts"), "_key").where("_set <> _first").select("_set", "_first").distinct()
-    pairs = stored(pairs, "pairs")
+    firsts = minima.groupBy("_key").agg(first.alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("_key", "_first")
+    firsts = stored(firsts, "firsts")
+    pairs = stored(minima.join(firsts, "_key").where("_set <> _first").select("_set", "_first").distinct(), "pairs")
     sets = stored(chunks.mapInArrow(_each, "_set long, _tokens binary"), "sets")
     # The first of a large group meets many members: the members bring it along, so that its rows can be split.
     leaders = stored(sets.join(pairs.select(F.col("_first").alias("_set")).distinct(), "_set").select(F.col("_set").alias("_first"), F.col("_tokens").alias("_others")), "leaders")
-    met = stored(pairs.join(sets, "_set"), "members").join(leaders, "_first").select("_set", "_tokens", "_first", "_others")
-    return stored(met.mapInArrow(_held_against, "a long, b long"), "links"), pairs
+    members = stored(pairs.join(sets, "_set"), "members")
+    met = members.join(leaders, "_first").select("_set", "_tokens", "_first", "_others")
+    links = stored(met.mapInArrow(_held_against, "a long, b long"), "links")
+    dropped(minima, firsts, sets, leaders, members)
+    return links, pairs
 
 
 # --- 4: the token-group matrix
@@ -318,11 +330,12 @@ def _grouped(chunks: DataFrame, able: DataFrame) -> tuple[DataFrame, DataFrame]:
 MATRIX = "_bucket int, _chunk long, _tokens binary, _groups binary"
 
 
+@slim
 def _rows_of_matrix(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Each chunk's distinct (token, component), by bucket. _labels has component, its size and group of each class."""
     limits = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
     for b in batches:
-        for r in b.to_pylist():
+        for r in records(b):
             tokens, sizes = np.frombuffer(r["_tokens"], np.uint64), np.frombuffer(r["_sizes"], np.int64)
             groups = np.repeat(np.array([x["_c"] for x in r["_labels"]], np.int64), sizes)
             order = np.lexsort((groups, tokens))
@@ -335,9 +348,10 @@ def _rows_of_matrix(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([r["_chunk"]], pa.int64()), pa.array([tt.tobytes()], pa.binary()), pa.array([gg.tobytes()], pa.binary())], ["_bucket", "_chunk", "_tokens", "_groups"])
 
 
+@slim
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each chunk, those of its tokens that several components hold, and how many."""
-    rows = [r for b in batches for r in b.to_pylist()]
+    rows = [r for b in batches for r in records(b)]
     if not rows:
         return
     tokens = np.concatenate([np.frombuffer(r["_tokens"], np.uint64) for r in rows])
@@ -358,11 +372,12 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 QUERIES = "_set long, _c long, _size long, _group long, _n long, _most long, _tokens binary, _rare binary"
 
 
+@slim
 def _queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Classes that can have a partner in another component, with the tokens of which a partner has at least one, and the most
     tokens that a partner can have: with s tokens in common at best, 7 s >= 3 (n + most)."""
     for b in batches:
-        for r in b.to_pylist():
+        for r in records(b):
             parts = [(np.frombuffer(x["_common"], np.uint64), np.frombuffer(x["_in"], np.int32)) for x in r["_parts"]]
             common, number = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             order = np.argsort(common)
@@ -385,6 +400,7 @@ def _queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- 5: meetings
 
 
+@slim
 def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
@@ -393,11 +409,12 @@ def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *tokens])), *map(pa.array, each)], ["_token", *[x.split()[0] for x in QUERIES.split(", ")[:6]]])
 
 
+@slim
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(_asks, _members) -> edges. Both are arrays of (_set, _c, _size, _tokens): asking classes, and a block of a group."""
     for b in batches:
         a, z = [], []
-        for asks, members in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for asks, members in zip(*(each(c) for c in b.columns), strict=True):
             tokens = [np.frombuffer(m["_tokens"], np.uint64) for m in members]
             every, size = np.concatenate(tokens), np.array([len(t) for t in tokens])
             starts = np.cumsum(size) - size
@@ -421,17 +438,18 @@ def _between(chunks: DataFrame, roots: DataFrame, pairs: DataFrame, buckets: int
     """Edges between classes of different components, or None where no class can have one."""
     root = roots.withColumnRenamed("node", "_set")
     kin = pairs.join(root.select(F.col("_set").alias("_first"), "root"), "_first", "left").groupBy("_set").agg(F.min(F.coalesce("root", "_first")).alias("_kin"))
-    each = chunks.mapInArrow(_members, "_chunk long, _i int, _set long").join(root, "_set", "left").join(kin, "_set", "left")
-    each = stored(each.select("_chunk", "_i", F.coalesce("root", "_set").alias("_c"), F.coalesce("root", "_kin", "_set").alias("_group")), "labels")
+    rows = chunks.mapInArrow(_members, "_chunk long, _i int, _set long").join(root, "_set", "left").join(kin, "_set", "left")
+    each_label = stored(rows.select("_chunk", "_i", F.coalesce("root", "_set").alias("_c"), F.coalesce("root", "_kin", "_set").alias("_group")), "labels")
     # Only components of several classes, written, so that the rows of a very large one can be split.
-    sizes = stored(each.groupBy("_c").agg(F.count("*").alias("_size")).where("_size > 1"), "sizes")
-    labelled = each.join(sizes, "_c", "left").withColumn("_size", F.coalesce("_size", F.lit(1)).cast("long"))
+    sizes = stored(each_label.groupBy("_c").agg(F.count("*").alias("_size")).where("_size > 1"), "sizes")
+    labelled = each_label.join(sizes, "_c", "left").withColumn("_size", F.coalesce("_size", F.lit(1)).cast("long"))
     labels = labelled.groupBy("_chunk").agg(F.array_sort(F.collect_list(F.struct("_i", "_c", "_size", "_group"))).alias("_labels"))
     full = stored(chunks.join(labels, "_chunk"), "chunks")
     matrix = full.mapInArrow(lambda b: _rows_of_matrix(b, buckets), MATRIX).repartitionById(buckets, F.col("_bucket"))
     parts = matrix.mapInArrow(_across, "_chunk long, _common binary, _in binary").groupBy("_chunk").agg(F.collect_list(F.struct("_common", "_in")).alias("_parts"))
     queries = stored(full.join(parts, "_chunk").select("_sets", "_sizes", "_tokens", "_labels", "_parts").mapInArrow(_queries, QUERIES), "queries")
     if queries.isEmpty():
+        dropped(each_label, sizes, full, queries)
         return None
     names = [x.split()[0] for x in QUERIES.split(", ")]
     rare = stored(queries.select(*names[:6], "_rare").mapInArrow(_rare, "_token long, " + ", ".join(f"{n} long" for n in names[:6])), "rare")
@@ -442,20 +460,23 @@ def _between(chunks: DataFrame, roots: DataFrame, pairs: DataFrame, buckets: int
     meets = stored(rare.join(held, "_token").where(fits).select("_set", "_other").distinct(), "meetings")
 
     def batched(rows: DataFrame, most: int, name: str) -> DataFrame:
-        """Rows of a group, at most about `most` together."""
-        counts = stored(rows.groupBy("_other").agg(F.count("*").alias("_k")), "counts")
-        part = F.pmod(F.xxhash64("_set"), F.ceil(F.col("_k") / most))
+        """Rows of a group, about `most` of them or BLOCK_TOKENS tokens together."""
+        counts = stored(rows.groupBy("_other").agg(F.greatest(F.count("*") / most, F.sum("_n") / BLOCK_TOKENS).alias("_k")), "counts")
+        part = F.pmod(F.xxhash64("_set"), F.ceil("_k"))
         return stored(rows.join(counts, "_other").groupBy("_other", part.alias("_part")).agg(F.collect_list(F.struct("_set", "_c", "_size", "_tokens")).alias(name)).drop("_part"), name.strip("_"))
 
-    one = queries.select("_set", "_c", "_size", "_tokens", F.col("_group").alias("_other"))
+    one = queries.select("_set", "_c", "_size", "_n", "_tokens", F.col("_group").alias("_other"))
     members = batched(one, BLOCK, "_members")
     asks = batched(meets.join(one.drop("_other"), "_set"), ASKS, "_asks")
-    return asks.join(members, "_other").select("_asks", "_members").mapInArrow(_opened, "a long, b long")
+    edges = stored(asks.join(members, "_other").select("_asks", "_members").mapInArrow(_opened, "a long, b long"), "opened")
+    dropped(each_label, sizes, full, queries, rare, held, meets, members, asks)
+    return edges
 
 
+@slim
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for r in b.to_pylist():
+        for r in records(b):
             k = np.frombuffer(r["_sets"], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), r["_chunk"])), pa.array(np.arange(len(k), dtype=np.int32)), pa.array(k)], ["_chunk", "_i", "_set"])
 
@@ -486,12 +507,15 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     one = stored(keyed.join(able, "_set").groupBy("_set").agg(F.min("_row").alias("_row")), "representatives")
     chunks = stored(_asked_for(rows.select("_row", "_text"), one).join(one, "_row").select("_set", "_text").mapInArrow(_chunked, CHUNKS), "tokens")
     near, pairs = _grouped(chunks, able)
-    roots = stored(components(near), "roots")
+    roots = components(near)
     more = _between(chunks, roots, pairs, buckets)
     if more is not None:
-        roots = stored(components(near.unionAll(more)), "roots")
+        inner, roots = roots, components(near.unionAll(more))
+        dropped(inner, more)
+    dropped(able, one, chunks, near, pairs)
     whole = keyed.join(roots.withColumnRenamed("node", "_set"), "_set", "left").withColumn("_c", F.coalesce("root", "_set"))
     whole = stored(whole.select("_id", "_row", "_n", "_set", "_c"), "members")
+    dropped(keyed, roots)
     least = whole.where("_n > 0").groupBy("_c").agg(F.min("_id").alias("_least"), F.count("*").alias("_size")).where("_size > 1").select("_c", "_least")
     out = whole.join(stored(least, "least"), "_c", "left")
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(F.col("_n") > 0, F.coalesce("_least", "_id")).otherwise(F.col("_id")).alias("component_id"), F.col("_set").alias("set_id"), F.col("_row").alias("row_key"), F.col("_c").alias("_root"))

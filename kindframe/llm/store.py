@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +24,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir. Only where that is unset, as in tests, one is made."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="kindframe-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -33,7 +39,43 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: its lineage ends there, and no lost executor can take it along."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
+    out = df.sparkSession.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete tables that stored() wrote and that nothing reads any more."""
+    for t in tables:
+        if t is not None:
+            spark = t.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def each(column: pa.Array) -> Iterator:
+    """A column's values one by one, so that a batch of long texts is not held twice."""
+    return (x.as_py() for x in column)
+
+
+def records(batch: pa.RecordBatch) -> Iterator[dict]:
+    """A batch's rows one by one, as dicts."""
+    return (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows))
+
+
+def slim(f: Callable) -> Callable:
+    """f, a function over a task's batches, that gives memory back when it ends, as workers live on for other stages."""
+
+    @functools.wraps(f)
+    def run(*args, **kw):
+        yield from f(*args, **kw)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # no such call in this C library
+            return
+
+    return run
 
 
 def ascii_lower(c: Column) -> Column:
