@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kindframe.llm.store import stored
+from kindframe.llm.store import records, slim, stored
 
-BLOCK, QUERIES, GRID = 8192, 128, 4
+BLOCK, QUERIES = 8192, 128
+#: Bytes of either side that meet in a cell of the grid.
+CELL = 64 << 20
 ONE = np.uint64(1)
 
 
@@ -149,6 +151,7 @@ def _stacked(rows: list[np.ndarray]) -> np.ndarray:
 def build_index(rows: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
     """One row for each block: ids and bitmaps. Built where the rows lie, without a shuffle; every valid row is in it."""
 
+    @slim
     def build(batches):
         for n, (ids, x) in enumerate(_blocks(batches, scale, BLOCK)):
             maps, low, depth = sliced(x)
@@ -175,18 +178,23 @@ def top_k(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
             yield pa.RecordBatch.from_pydict({"_qids": [ids.tobytes()], "_q": [x.tobytes()], "_dims": [x.shape[1]], "_batch": [n]})
 
     batches = stored(asked.mapInArrow(batch, QUERY), "query-batches")
-    n_index, n_batches = index.count(), batches.count()
-    # Each cell of the grid has about GRID index blocks and one batch of queries.
-    slots = max(1, n_index // GRID)
-    left = index.withColumn("_slot", F.pmod(F.xxhash64("_ids"), F.lit(slots))).withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(max(n_batches - 1, 0)))))
-    numbered = batches.withColumn("_cell", F.row_number().over(Window.orderBy(F.xxhash64("_qids"))) - 1)
-    right = numbered.withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n_batches * slots, 100_000))
-    met = left.repartition(tasks, "_slot", "_cell").join(right.repartition(tasks, "_slot", "_cell"), ["_slot", "_cell"]).select("_ids", "_low", "_depth", "_maps", "_qids", "_q", "_dims")
-
+    n_index, size = index.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_maps")), F.lit(0))).first()
+    n_batches, asked_size = batches.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_q")), F.lit(0))).first()
+    # Each side is cut into slots of CELL bytes, and finer while there are cores without a cell: first the index, as the
+    # batches are the smaller side to copy. Slots are hashes, so nothing has to be numbered in one place.
+    slots, asks = max(1, -(-size // CELL)), max(1, -(-asked_size // CELL))
+    cores = 2 * spark.sparkContext.defaultParallelism
+    slots = max(slots, min(n_index, -(-cores // asks)))
+    asks = max(asks, min(n_batches, -(-cores // slots)))
+    left = index.withColumn("_slot", F.pmod(F.xxhash64("_ids"), F.lit(slots))).withColumn("_ask", F.explode(F.sequence(F.lit(0), F.lit(asks - 1))))
+    right = batches.withColumn("_ask", F.pmod(F.xxhash64("_qids"), F.lit(asks)).cast("int")).withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(asks * slots, 100_000))
+    met = left.repartition(tasks, "_slot", "_ask").join(right.repartition(tasks, "_slot", "_ask"), ["_slot", "_ask"]).select("_ids", "_low", "_depth", "_maps", "_qids", "_q", "_dims")
+
+    @slim
     def answer(batches):
         for b in batches:
-            for r in b.to_pylist():
+            for r in records(b):
                 ids, low, depth = (np.frombuffer(r[c], np.int64) for c in ("_ids", "_low", "_depth"))
                 maps = np.frombuffer(r["_maps"], np.uint64).reshape(-1, -(-len(ids) // 64))
                 qids = np.frombuffer(r["_qids"], np.int64)
