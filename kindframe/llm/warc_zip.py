@@ -105,7 +105,11 @@ def deduplicated(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "utf-8").alias("payload"))
     p = p.withColumn("digest", F.sha2("payload", 256))
     first = p.where(F.octet_length("payload") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select(F.col("digest").alias("of"), "first")
-    met = p.join(first, F.col("digest") == F.col("of"), "left")
+    # Written, so that the join deals pages anew and can split those of a very common payload. Small pages meet nothing, each
+    # by a key of its own, as they may all have one payload.
+    first = stored(first, "first")
+    own = F.when(F.octet_length("payload") >= LEAST, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64(F.monotonically_increasing_id()).cast("string")))
+    met = p.withColumn("own", own).join(first, F.col("own") == F.col("of"), "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     text = lambda c: F.coalesce(c.cast("string"), F.lit("")) if kind != "string" else c
     return met.select(text(F.col("page_id")).alias("page_id"), "url", "payload", "digest", refers.cast("string").alias("refers_to"))
@@ -173,9 +177,33 @@ def directory(f: pa.NativeFile) -> list[Member]:
     return members
 
 
+def _lines(f: pa.NativeFile, at: int, m: Member) -> Iterator[str]:
+    """An index's lines, read by pieces; it may be deflated in its package, a gzip file, or both."""
+    inflate = [zlib.decompressobj(-15)] if m.method else []
+    gz, rest, pos = m.name.endswith(".gz"), b"", at
+    if gz:
+        inflate.append(zlib.decompressobj(31))
+    while pos < at + m.size:
+        f.seek(pos)
+        data = f.read(min(1 << 20, at + m.size - pos))
+        pos += len(data)
+        if m.method:
+            data = inflate[0].decompress(data)
+        while gz and data:
+            out, gz_now = inflate[-1].decompress(data), inflate[-1]
+            rest += out
+            data = gz_now.unused_data
+            if gz_now.eof:  # another gzip member may follow
+                inflate[-1] = zlib.decompressobj(31)
+        *whole, rest = (rest + data).split(b"\n")
+        yield from (x.decode() for x in whole)
+    if rest:
+        yield rest.decode()
+
+
 def content_at(f: pa.NativeFile, m: Member) -> int:
-    """Where a stored member's bytes begin. The local header's name and extra field may differ in length from the directory's."""
-    if m.method:
+    """Where a member's bytes begin. The local header's name and extra field may differ in length from the directory's."""
+    if m.method and (m.name.startswith("archive/") or m.method != 8):
         raise ValueError(f"{m.name} is compressed in its package: its records have no ranges")
     f.seek(m.header)
     head = f.read(30)
@@ -205,9 +233,10 @@ def ranges(f: pa.NativeFile) -> list[tuple[int, int, str | None]]:
     starts = {n: content_at(f, m) for n, m in members.items() if n.startswith(("archive/", "indexes/"))}
     out, indexed = [], set()
     for n in starts:
-        if n.startswith("indexes/") and n.endswith((".cdx", ".cdxj")):
-            f.seek(starts[n])
-            for line in f.read(members[n].size).decode().splitlines():
+        if n.startswith("indexes/") and n.endswith((".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz")):
+            for line in _lines(f, starts[n], members[n]):
+                if "{" not in line:  # a header
+                    continue
                 x = json.loads(line[line.index("{") :])
                 name = x["filename"] if "/" in x["filename"] else f"archive/{x['filename']}"
                 indexed.add(name)
@@ -222,7 +251,7 @@ def parsed(raw: bytes) -> tuple[dict[str, str], bytes, bytes]:
     """A record's fields, its HTTP header and its payload."""
     data = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+    fields = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     return fields, http, payload
