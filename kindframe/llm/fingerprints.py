@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindframe.llm.store import tasks
+from kindframe.llm.store import slim, tasks
 
 K, LEVELS, FROM_LEVEL, FEW = 48, 6, 3, 4
 #: Texts are parsed together up to so many code points.
@@ -126,6 +126,7 @@ def likeness(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
 OUT = "_row binary, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+@slim
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order; the last of a partition, marked, stands for the first of the next and yields nothing."""
     names = [x.split()[0] for x in OUT.split(", ")]
@@ -170,28 +171,27 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are in order of a hash of their texts. The edited text has the last floor(n_chars / 2) code points replaced by as many
     of the next document's first ones, or all it has. Null texts are empty; the empty text's fingerprint is the
     empty string, like only itself (likeness 1). Other columns are ignored; an empty table gives an empty table; a single
-    row is its own next document.
+    row is its own next document. Ids may be of any type that has an order.
 
     One shuffle deals the texts into ranges of ids; the first row of each range is copied to the end of the range before.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    n = tasks(spark)
-    # Limits of the ranges: at most one id a partition, to the driver.
-    parts = [i / n for i in range(1, n)]
-    limits = sorted(set(rows.agg(F.percentile_approx("_id", parts, 10_000)).first()[0] or [])) if parts and kind in ("tinyint", "smallint", "int", "bigint") else []
-    known = F.array(*[F.lit(x).cast(kind) for x in limits]) if limits else None
-    above = F.lit(len(limits)) - F.size(F.filter(known, lambda x: x <= F.col("_id"))) if limits else F.lit(0)
-    ranged = rows.withColumn("_range", F.when(F.col("_id").isNull(), len(limits)).otherwise(above).cast("int")).withColumn("_tie", F.xxhash64("_text"))
-    first = ranged.groupBy("_range").agg(F.max_by(F.struct("_id", "_tie"), F.struct("_id", -F.col("_tie").cast("decimal(20,0)"))).alias("f")).orderBy("_range").collect()
-    wanted = spark.createDataFrame([(x["_range"], x["f"]["_tie"], first[i - 1]["_range"]) for i, x in enumerate(first)], "_r int, _t long, _to int")
-    ids = spark.createDataFrame([(x["_range"], x["f"]["_id"]) for x in first], f"_r int, _i {kind}")
-    firsts = wanted.join(ids, "_r")
-    met = ranged.join(F.broadcast(firsts), (F.col("_range") == F.col("_r")) & F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tie") == F.col("_t")), "left")
-    places = F.when(F.col("_to").isNull(), F.array(F.struct(F.col("_range").alias("at"), F.lit(False).alias("mark")))).otherwise(F.array(F.struct(F.col("_range").alias("at"), F.lit(False).alias("mark")), F.struct(F.col("_to").alias("at"), F.lit(True).alias("mark"))))
-    dealt = met.withColumn("_p", F.explode(places)).select("_id", "_text", "_tie", F.col("_p.at").alias("_at"), F.col("_p.mark").alias("_mark"))
-    dealt = dealt.repartitionById(len(limits) + 1, F.col("_at")).sortWithinPartitions("_mark", F.desc_nulls_last("_id"), "_tie")
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_tie", F.xxhash64("_text"))
+    # The first key of each range, from a sort of the keys alone: one a partition, to the driver.
+    key = F.struct("_id", "_tie")
+    sorted_ = rows.select("_id", "_tie").repartitionByRange(tasks(spark), F.desc_nulls_last("_id"), F.desc("_tie"))
+    found = sorted_.select(F.spark_partition_id().alias("_p"), key.alias("_k")).groupBy("_p").agg(F.max("_k").alias("_k")).select("_k").distinct().orderBy(F.desc("_k")).collect()
+    firsts = [F.struct(F.lit(r["_k"]["_id"]).cast(kind).alias("_id"), F.lit(r["_k"]["_tie"]).cast("long").alias("_tie")) for r in found]
+    # A row is in the range after as many first keys as it is not above; a first row is also the mark at the end of the range before.
+    at = F.size(F.filter(F.array(*firsts[1:]), lambda x: key <= x)) if len(firsts) > 1 else F.lit(0)
+    ranged = rows.withColumn("_range", at)
+    is_first = F.get(F.array(*firsts), F.col("_range")) == key if firsts else F.lit(False)
+    place = lambda x, mark: F.struct(x.cast("int").alias("at"), F.lit(mark).alias("mark"))
+    n = max(1, len(firsts))
+    own, before = place(F.col("_range"), False), place(F.pmod(F.col("_range") - 1, F.lit(n)), True)
+    dealt = ranged.withColumn("_p", F.explode(F.when(is_first, F.array(own, before)).otherwise(F.array(own)))).select("_id", "_text", "_tie", F.col("_p.at").alias("_at"), F.col("_p.mark").alias("_mark"))
+    dealt = dealt.repartitionById(n, F.col("_at")).sortWithinPartitions("_mark", F.desc_nulls_last("_id"), F.desc("_tie"))
     done = dealt.select(F.encode(F.col("_id").cast("string"), "utf-8").alias("_row"), "_text", "_mark").mapInArrow(_compared, OUT)
     return done.select(F.decode("_row", "utf-8").cast(kind).alias(id_col), *[x.split()[0] for x in OUT.split(", ")[1:]])
 
