@@ -60,3 +60,18 @@ def contains_ci(c: Column, part: str) -> Column:
 
 def starts_ci(c: Column, part: str) -> Column:
     return F.startswith(F.upper(c), F.upper(F.lit(part)))
+
+
+def pieces(c: Column, separator: str) -> Column:
+    """A text's parts between separators, taken as plain text."""
+    return F.split(c, "\\Q" + separator.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
+
+
+def equal_caseless(a: Column, b: Column) -> Column:
+    return F.upper(a) == F.upper(b)
+
+
+def compare_caseless(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 as a stands before, with or after b, whatever their case."""
+    x, y = F.upper(a), F.upper(b)
+    return F.when(x < y, -1).when(x > y, 1).when(x == y, 0)

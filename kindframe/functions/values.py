@@ -7,17 +7,23 @@ compare as the values do: null < object < array < string < false < true < decima
 from __future__ import annotations
 
 import json
+import string
 from decimal import ROUND_HALF_EVEN, Decimal
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed ranks of the types.
 NULL, OBJECT, ARRAY, STRING, BOOL, DECIMAL, INT = range(1, 8)
+KEY_FIELDS = (("rank", "int"), ("d", "decimal(25,6)"), ("i", "bigint"), ("s", "string"))
 KEY = "struct<rank:int,d:decimal(25,6),i:bigint,s:string>"
-#: Id alphabet in order of code point, so that later ids sort later.
-ID_DIGITS = "+0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_"
+#: The 64 digits of ids: ASCII letters, digits and two marks, sorted, so that later ids sort later.
+ID_DIGITS = "".join(sorted(string.ascii_letters + string.digits + "+_"))
+#: Objects nest no deeper.
+DEPTH = 32
+OBJECT_MAP = "map<string,variant>"
 
 
 def _key(rank: Column, d: Column | None = None, i: Column | None = None, s: Column | None = None) -> Column:
@@ -74,3 +80,82 @@ def new_id(seed: Column, at: Column) -> Column:
     bits = F.shiftleft(at.bitwiseAND(F.lit((1 << 50) - 1)), 14).bitwiseOR(F.xxhash64(seed).bitwiseAND(F.lit((1 << 14) - 1)))
     digits = [F.substring(F.lit(ID_DIGITS), (F.shiftrightunsigned(bits, max(0, 58 - 6 * k)) if k < 10 else F.shiftleft(bits, 2)).bitwiseAND(F.lit(63)).cast("int") + 1, F.lit(1)) for k in range(11)]
     return F.concat(*digits)
+
+
+# --- schemaless values as a whole
+
+
+def has_variant(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(has_variant(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return has_variant(kind.elementType)
+    return isinstance(kind, T.VariantType) or isinstance(kind, T.MapType) and has_variant(kind.valueType)
+
+
+def same(a: Column, b: Column, kind: T.DataType) -> Column:
+    """Whether two values are equal, absent ones too. Variants of other types, such as 5 and 5.0, are not."""
+    if isinstance(kind, T.VariantType):
+        return F.to_json(a).eqNullSafe(F.to_json(b)) & F.schema_of_variant(a).eqNullSafe(F.schema_of_variant(b))
+    return F.to_json(F.struct(a.alias("v"))).eqNullSafe(F.to_json(F.struct(b.alias("v")))) if has_variant(kind) else a.eqNullSafe(b)
+
+
+def is_object(v: Column) -> Column:
+    return F.schema_of_variant(v).startswith("OBJECT")
+
+
+def laid_over(old: Column, new: Column, depth: int = DEPTH) -> Column:
+    """The deep merge of two variants: objects merge property by property, anything else is replaced; null is absent."""
+    if not depth:
+        return F.coalesce(new, old)
+    both = F.to_variant_object(F.map_zip_with(old.cast(OBJECT_MAP), new.cast(OBJECT_MAP), lambda k, a, b: laid_over(a, b, depth - 1)))
+    return F.when(new.isNull(), old).when(old.isNull() | ~(is_object(old) & is_object(new)), new).otherwise(both)
+
+
+def object_hash(v: Column) -> Column:
+    """A 64-bit hash of a variant's whole content; the order of an object's properties does not count."""
+    return F.xxhash64(F.to_json(v), F.schema_of_variant(v))
+
+
+# --- scalar helpers
+
+
+def to_base64(c: Column, ids: bool = False) -> Column:
+    """Bytes as base64 text: the MIME alphabet, or that of ids, without padding."""
+    text = F.replace(F.base64(c), F.lit("\r\n"), F.lit(""))
+    return F.translate(text, MIME + "=", ID_DIGITS) if ids else text
+
+
+def from_base64(c: Column, ids: bool = False) -> Column:
+    """The bytes of base64 text; null for text that is none."""
+    text = F.translate(c, ID_DIGITS, MIME) if ids else c
+    return F.try_to_binary(F.rpad(text, (F.length(text) + F.pmod(-F.length(text), F.lit(4))).cast("int"), F.lit("=")), F.lit("base64"))
+
+
+#: The MIME alphabet in its order, which is fixed.
+MIME = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"
+
+
+def as_int(v: Column) -> Column:
+    """A variant as a whole number: decimals lose their fraction, booleans are 0 and 1, texts are read, all else is 0."""
+    key = order_key(v)
+    text = F.coalesce(F.regexp_extract(key["s"], r"^\s*([+-]?\d+)", 1).try_cast("bigint"), F.lit(0))
+    return F.when(v.isNull(), None).when(key["rank"].isin(INT, BOOL), key["i"]).when(key["rank"] == DECIMAL, key["d"].cast("bigint")).when(key["rank"] == STRING, text).otherwise(F.lit(0).cast("bigint"))
+
+
+def as_decimal(v: Column) -> Column:
+    key = order_key(v)
+    number = F.coalesce(F.regexp_extract(key["s"], r"^\s*([+-]?\d+(?:\.\d*)?)", 1).try_cast("decimal(25,6)"), F.lit(0))
+    return F.when(v.isNull(), None).when(key["rank"].isin(INT, BOOL), key["i"].cast("decimal(25,6)")).when(key["rank"] == DECIMAL, key["d"]).when(key["rank"] == STRING, number).otherwise(F.lit(0)).cast("decimal(25,6)")
+
+
+def as_bool(v: Column) -> Column:
+    """false, 0, 0.0, null and the text false are false; any other value is true."""
+    key = order_key(v)
+    return F.when(v.isNull(), None).when(key["rank"].isin(INT, BOOL), key["i"] != 0).when(key["rank"] == DECIMAL, key["d"] != 0).when(key["rank"] == STRING, F.lower(key["s"]) != "false").otherwise(key["rank"] != NULL)
+
+
+def as_text(v: Column) -> Column:
+    """A scalar's text, and an object's or array's JSON."""
+    key = order_key(v)
+    return F.when(v.isNull(), None).when(key["rank"].isin(STRING, OBJECT, ARRAY), key["s"]).when(key["rank"] == BOOL, F.when(key["i"] == 1, "true").otherwise("false")).when(key["rank"] == INT, key["i"].cast("string")).when(key["rank"] == DECIMAL, decimal_text(key["d"])).otherwise("null")

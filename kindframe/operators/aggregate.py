@@ -45,9 +45,18 @@ def _number(v: Values) -> Column:
     return F.when(key.isNull(), None).when(key["rank"] == values.INT, key["i"].cast("decimal(25,6)")).when(key["rank"] == values.DECIMAL, key["d"]).otherwise(bad)
 
 
-def aggregate(df: DataFrame, spec: Aggregate, tie: Column, desc: bool = False, collate: dict[str, str] | None = None) -> DataFrame:
+def _descending(c: Column, kind: str | None) -> Column:
+    """A column that sorts the other way: numbers negated, texts as hex digits turned round, with an end above them all."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return -c.cast("decimal(20,0)")
+    return F.concat(F.translate(F.hex(F.encode(c.cast("string"), "utf-8")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+
+
+def aggregate(df: DataFrame, spec: Aggregate, tie: Column, desc: bool = False, collate: dict[str, str] | None = None, ordered: bool = True) -> DataFrame:
     """A row for each group in order of its key, with <function>_<property> columns; no rows give no row.
 
+    Where very many groups need no order, ordered=False saves the global sort.
+
     An array as the grouping property puts a row into each element's group. Absent values are skipped property by property.
     first and last are the whole rows with the least and the greatest value, the earliest in order of tie among equals.
     sum and avg need numbers; avg has six digits.
@@ -72,7 +81,8 @@ def aggregate(df: DataFrame, spec: Aggregate, tie: Column, desc: bool = False, c
                 # By key and value, so that a collated or variant value comes back as it is.
                 if v.variant:
                     at = (F.min if function == "min" else F.max)(key)
-                    out.append(F.coalesce(at["s"], at["i"].cast("string"), values.decimal_text(at["d"])).alias(as_))
+                    text = F.when(at["rank"] == values.BOOL, F.when(at["i"] == 1, "true").otherwise("false"))
+                    out.append(F.coalesce(text, at["s"], at["i"].cast("string"), values.decimal_text(at["d"])).alias(as_))
                 elif isinstance(v.type, T.StringType) and prop in collate:
                     out.append((F.min_by if function == "min" else F.max_by)(v.column, key).alias(as_))
                 else:
@@ -82,7 +92,7 @@ def aggregate(df: DataFrame, spec: Aggregate, tie: Column, desc: bool = False, c
                 if function == "first":
                     out.append(F.min_by(row, F.when(key.isNotNull(), F.struct(key.alias("k"), tie.alias("t")))).alias(as_))
                 else:
-                    out.append(F.max_by(row, F.when(key.isNotNull(), F.struct(key.alias("k"), (-tie).alias("t")))).alias(as_))
+                    out.append(F.max_by(row, F.when(key.isNotNull(), F.struct(key.alias("k"), _descending(tie, dict(df.dtypes).get("_id")).alias("t")))).alias(as_))
             elif function == "sum":
                 out.append(F.sum(_number(v)).alias(as_))
             else:
@@ -90,5 +100,7 @@ def aggregate(df: DataFrame, spec: Aggregate, tie: Column, desc: bool = False, c
     done = df.groupBy(*keys, *order).agg(*out)
     if name is None:
         return done.drop("_all")
+    if not ordered:
+        return done.drop("_order")
     by = F.col("_order") if order else F.col(f"`{name}`")
     return done.orderBy(by.desc() if desc else by.asc()).drop("_order")

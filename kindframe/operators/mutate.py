@@ -7,16 +7,15 @@ revision, the table's last plus 1.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindframe.errors import KindError
+from kindframe.functions import values
 
 SYSTEM = ("_id", "_rev", "_del", "_kind", "_sync")
 
@@ -26,8 +25,9 @@ def with_system(df: DataFrame, id_col: str, rev: int = 0) -> DataFrame:
     return df.withColumn("_id", F.col(id_col)).withColumn("_rev", F.lit(rev).cast("long")).withColumn("_del", F.lit(False))
 
 
-def last_rev(df: DataFrame) -> int:
-    return df.agg(F.max("_rev")).first()[0] or 0
+def last_rev(df: DataFrame) -> Column:
+    """A snapshot's last revision, as a subquery of whatever uses it."""
+    return df.agg(F.coalesce(F.max("_rev"), F.lit(0)).cast("long")).scalar()
 
 
 def conflicts(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -38,70 +38,74 @@ def conflicts(old: DataFrame, new: DataFrame) -> DataFrame:
     return met.select("_id", error.alias("error")).where("error IS NOT NULL")
 
 
-def _combined(old: DataFrame, new: DataFrame, value: Callable[[str], Column], keep_new: bool) -> DataFrame:
-    """Old and new rows in one, value(column) deciding where both have it; rows without a change keep their revision."""
+def _folded(new: DataFrame, lay: Callable[[Column, Column, str], Column] | None) -> DataFrame:
+    """(_id, _n): one object an id. Of objects that repeat an id the last one stays, or with lay each is laid over those before."""
+    cols = [c for c in new.columns if c not in ("_rev", "_del")]
+    row = F.struct(F.monotonically_increasing_id().alias("_at"), F.struct(*cols).alias("_row"))
+    if lay is None:
+        return new.select("_id", row.alias("_r")).groupBy("_id").agg(F.max_by("_r._row", "_r._at").alias("_n"))
+    # The objects of one write that name one id are few, as a client sends them.
+    all_of = new.select("_id", row.alias("_r")).groupBy("_id").agg(F.array_sort(F.collect_list("_r"), lambda a, b: F.when(a["_at"] < b["_at"], -1).otherwise(1)).alias("_all"))
+    rows = F.transform("_all", lambda x: x["_row"])
+    over = lambda a, b: F.struct("_id", *[lay(a[c], b[c], c).alias(c) for c in cols if c != "_id"])
+    one = F.aggregate(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), F.struct("_id", *[rows[0][c].alias(c) for c in cols if c != "_id"]), over)
+    return all_of.select("_id", F.when(F.size("_all") == 1, F.struct("_id", *[rows[0][c].alias(c) for c in cols if c != "_id"])).otherwise(one).alias("_n"))
+
+
+def _combined(old: DataFrame, new: DataFrame, lay: Callable[[Column, Column, str], Column] | None, keep_new: bool) -> DataFrame:
+    """Old and new rows in one, lay(old, new, column) where both have it (or else the new one); rows without a change keep
+    their revision."""
+    kinds = {f.name: f.dataType for f in old.schema}
     data = [c for c in old.columns if c not in ("_id", "_rev", "_del")]
-    o = old.select("_id", F.struct(*old.columns).alias("_o"))
-    n = new.select("_id", F.struct(*[c for c in new.columns if c not in ("_rev", "_del")]).alias("_n"))
-    met = o.join(n, "_id", "full" if keep_new else "left")
     have = set(new.columns)
+    met = old.select("_id", F.struct(*old.columns).alias("_o")).join(_folded(new, lay), "_id", "full" if keep_new else "left")
 
     def pick(c: str) -> Column:
-        was = F.col("_o").getField(c)
-        if c not in have:
-            return was
-        return F.when(F.col("_n").isNull(), was).when(F.col("_o").isNull() | F.col("_o._del"), F.col("_n").getField(c)).otherwise(value(c))
+        was, now = F.col("_o").getField(c), F.col("_n").getField(c) if c in have else None
+        if now is None:
+            return was if lay else F.when(F.col("_n").isNull(), was)
+        return F.when(F.col("_n").isNull(), was).when(F.col("_o").isNull() | F.col("_o._del") | F.lit(lay is None), now).otherwise(lay(was, now, c) if lay else now)
 
     out = met.select("_id", "_o", "_n", *[pick(c).alias(c) for c in data])
     same = F.col("_n").isNull() | (F.col("_o").isNotNull() & ~F.col("_o._del"))
     for c in data:
-        same = same & (F.col("_n").isNull() | F.col(f"`{c}`").eqNullSafe(F.col("_o").getField(c)))
+        same = same & (F.col("_n").isNull() | values.same(F.col(f"`{c}`"), F.col("_o").getField(c), kinds[c]))
     out = out.withColumn("_same", same)
-    rev = last_rev(old)
-    fixed = out.where("_same").select("_id", *data, F.col("_o._rev").alias("_rev"), F.col("_o._del").alias("_del"))
-    moved = out.where("NOT _same").select("_id", *data, F.lit(rev + 1).cast("long").alias("_rev"), F.lit(False).alias("_del"))
-    return fixed.unionByName(moved).select(*old.columns)
+    rev = F.when(F.col("_same"), F.col("_o._rev")).otherwise(last_rev(old) + 1)
+    gone = F.when(F.col("_same"), F.col("_o._del")).otherwise(F.lit(False))
+    return out.select("_id", *data, rev.alias("_rev"), gone.alias("_del")).select(*old.columns)
 
 
 def put(old: DataFrame, new: DataFrame, check: bool = True) -> DataFrame:
-    """Insert, or replace by id. With check, an object that exists must name its revision."""
+    """Insert, or replace by id. With check, an object that exists must name its revision. The last object of an id counts."""
     if check and (bad := conflicts(old, new).first()):
         raise KindError(bad["error"], str(bad["_id"]))
-    return _combined(old, new, lambda c: F.col("_n").getField(c), True)
+    return _combined(old, new, None, True)
 
 
 def merge(old: DataFrame, new: DataFrame, ignore_missing: bool = False) -> DataFrame:
-    """Lay new objects over old ones: objects merge property by property, scalars and arrays replace."""
+    """Lay new objects over old ones: objects merge property by property, scalars and arrays replace. Objects of one id
+    are laid over each other in their order."""
     kinds = {f.name: f.dataType for f in old.schema}
-    return _combined(old, new, lambda c: merged(F.col("_o").getField(c), F.col("_n").getField(c), kinds[c]), not ignore_missing)
+    return _combined(old, new, lambda a, b, c: merged(a, b, kinds.get(c)), not ignore_missing)
 
 
 def merged(old: Column, new: Column, kind: T.DataType) -> Column:
-    """The deep merge of two typed values; null stands for absent."""
+    """The deep merge of two values; null stands for absent."""
     if isinstance(kind, T.StructType):
         both = F.struct(*[merged(old.getField(f.name), new.getField(f.name), f.dataType).alias(f.name) for f in kind])
         return F.when(new.isNull(), old).when(old.isNull(), new).otherwise(both)
+    if isinstance(kind, T.VariantType):
+        return values.laid_over(old, new)
     return F.coalesce(new, old)
 
 
-def _laid_over(old, new):
-    if isinstance(old, dict) and isinstance(new, dict):
-        return old | {k: _laid_over(old[k], v) if k in old else v for k, v in new.items()}
-    return new
-
-
-@F.pandas_udf(T.StringType())
-def merge_json(old: pd.Series, new: pd.Series) -> pd.Series:
-    """The deep merge of JSON objects of schemaless kinds, whose properties no expression can name."""
-    return pd.Series([n if o is None else o if n is None else json.dumps(_laid_over(json.loads(o), json.loads(n)), sort_keys=True) for o, n in zip(old, new, strict=True)])
-
-
 def merge_where(old: DataFrame, match: Column, props: dict[str, Column], rev: int | None = None) -> DataFrame:
     """Set properties on every live row that a query matches; rows that change get a revision."""
     hit = F.coalesce(match & ~F.col("_del"), F.lit(False))
     change = hit & ~reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(v) for c, v in props.items()])
     new = {c: F.when(hit, v).otherwise(F.col(c)) for c, v in props.items()}
-    return old.withColumns(new | {"_rev": F.when(change, F.lit((last_rev(old) if rev is None else rev) + 1)).otherwise(F.col("_rev"))})
+    return old.withColumns(new | {"_rev": F.when(change, (last_rev(old) if rev is None else F.lit(rev).cast("long")) + 1).otherwise(F.col("_rev"))})
 
 
 def merge_put(old: DataFrame, match: Column, props: dict[str, Column], new: DataFrame) -> DataFrame:
@@ -115,7 +119,7 @@ def delete(old: DataFrame, match: Column, purge: bool = True) -> DataFrame:
     if purge:
         return old.where(~hit)
     live = hit & ~F.col("_del")
-    return old.withColumns({"_rev": F.when(live, F.lit(last_rev(old) + 1)).otherwise(F.col("_rev")), "_del": F.col("_del") | hit})
+    return old.withColumns({"_rev": F.when(live, last_rev(old) + 1).otherwise(F.col("_rev")), "_del": F.col("_del") | hit})
 
 
 def delete_ids(old: DataFrame, ids: DataFrame, purge: bool = True) -> DataFrame:
@@ -125,7 +129,7 @@ def delete_ids(old: DataFrame, ids: DataFrame, purge: bool = True) -> DataFrame:
     rev = last_rev(old) + 1
     live = F.coalesce("_gone", F.lit(False)) & ~F.col("_del")
     met = old.join(gone, "_id", "left")
-    return met.withColumn("_rev", F.when(live, F.lit(rev)).otherwise(F.col("_rev"))).withColumn("_del", F.col("_del") | live).select(*old.columns)
+    return met.withColumn("_rev", F.when(live, rev).otherwise(F.col("_rev"))).withColumn("_del", F.col("_del") | live).select(*old.columns)
 
 
 def purge(old: DataFrame, rev_times: DataFrame, before: Column) -> DataFrame:

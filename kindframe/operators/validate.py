@@ -8,16 +8,77 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kindframe.functions import values
+
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 REAL = (T.FloatType, T.DoubleType, T.DecimalType)
 
 
 def _is(kind: T.DataType, name) -> bool:
-    if isinstance(name, dict):
+    if isinstance(name, dict) or isinstance(kind, T.VariantType):
         return True
     return {"any": True, "string": isinstance(kind, T.StringType), "integer": isinstance(kind, WHOLE), "number": isinstance(kind, (*WHOLE, *REAL)), "boolean": isinstance(kind, T.BooleanType), "object": isinstance(kind, (T.StructType, T.MapType)), "array": isinstance(kind, T.ArrayType), "null": False}.get(name, False)
 
 
+#: What schema_of_variant says of each type, as a pattern.
+VARIANT = {"string": "^STRING", "integer": "^BIGINT", "number": "^(BIGINT|DECIMAL|DOUBLE|FLOAT)", "boolean": "^BOOLEAN", "object": "^OBJECT", "array": "^ARRAY", "null": "^VOID"}
+
+
+def _variant_rules(c: Column, schema: dict) -> list[tuple[str, Column]]:
+    """rules() of a variant: each rule holds for values that are not of its type."""
+    kind = F.schema_of_variant(c)
+    when = lambda name, test: F.when(F.regexp_like(kind, F.lit(VARIANT[name])), test).otherwise(True)
+    number, text = F.try_variant_get(c, "$", "decimal(25,6)"), F.try_variant_get(c, "$", "string")
+    out: list[tuple[str, Column]] = []
+
+    def typed(wanted) -> Column:
+        options = wanted if isinstance(wanted, list) else [wanted]
+        one = [valid(c, T.VariantType(), o) if isinstance(o, dict) else F.lit(True) if o == "any" else F.regexp_like(kind, F.lit(VARIANT[o])) for o in options]
+        return reduce(lambda a, b: a | b, one, F.lit(False))
+
+    if "type" in schema:
+        out.append(("type", typed(schema["type"])))
+    if "disallow" in schema:
+        out.append(("disallow", ~typed(schema["disallow"])))
+    if "enum" in schema:
+        key = values.order_key(c)
+        out.append(("enum", reduce(lambda a, b: a | b, [key == values.order_literal(v) for v in schema["enum"]], F.lit(False))))
+    for name, test in (("minimum", lambda v, eq: number >= v if eq else number > v), ("maximum", lambda v, eq: number <= v if eq else number < v)):
+        if name in schema:
+            out.append((name, when("number", test(schema[name], schema.get(f"{name}CanEqual", True)))))
+    if "divisibleBy" in schema:
+        out.append(("divisibleBy", when("number", number % schema["divisibleBy"] == 0)))
+    for name, test in (("minLength", lambda v: F.length(text) >= v), ("maxLength", lambda v: F.length(text) <= v), ("pattern", lambda v: F.regexp_like(text, F.lit(v)))):
+        if name in schema:
+            out.append((name, when("string", test(schema[name]))))
+    items = F.try_variant_get(c, "$", "array<variant>")
+    for name, test in (("minItems", lambda v: F.size(items) >= v), ("maxItems", lambda v: F.size(items) <= v)):
+        if name in schema:
+            out.append((name, when("array", test(schema[name]))))
+    if schema.get("uniqueItems"):
+        keys = F.transform(items, lambda x: values.order_key(x))
+        out.append(("uniqueItems", when("array", F.size(F.array_distinct(keys)) == F.size(items))))
+    if isinstance(schema.get("items"), dict):
+        out.append(("items", when("array", F.forall(items, lambda x: valid(x, T.VariantType(), schema["items"])))))
+    elif isinstance(schema.get("items"), list):
+        out += [(f"items[{i}]", when("array", (F.size(items) <= i) | valid(F.get(items, i), T.VariantType(), s))) for i, s in enumerate(schema["items"])]
+        if schema.get("additionalProperties") is False:
+            out.append(("items", when("array", F.size(items) <= len(schema["items"]))))
+    known = schema.get("properties", {})
+    get = lambda n: F.try_variant_get(c, f"$['{n}']", "variant")
+    for name, sub in known.items():
+        must = sub.get("required", not sub.get("optional", False))
+        out.append((name, when("object", F.when(get(name).isNull(), F.lit(not must)).otherwise(valid(get(name), T.VariantType(), sub)))))
+        if "requires" in sub:
+            out.append((f"{name}.requires", when("object", get(name).isNull() | get(sub["requires"]).isNotNull())))
+    more = schema.get("additionalProperties", True)
+    if more is not True and not isinstance(schema.get("items"), list):
+        extra = F.map_filter(c.cast(values.OBJECT_MAP), lambda k, v: ~k.isin(list(known)) & ~k.startswith("_"))
+        test = F.size(extra) == 0 if more is False else F.forall(F.map_values(extra), lambda v: valid(v, T.VariantType(), more))
+        out.append(("additionalProperties", when("object", test)))
+    return out
+
+
 def _type(c: Column, kind: T.DataType, wanted) -> Column:
     """A value against a type, or a union of types and schemas."""
     options = wanted if isinstance(wanted, list) else [wanted]
@@ -36,6 +97,8 @@ def _type(c: Column, kind: T.DataType, wanted) -> Column:
 
 def rules(c: Column, kind: T.DataType, schema: dict) -> list[tuple[str, Column]]:
     """(rule, condition) for a present value."""
+    if isinstance(kind, T.VariantType):
+        return _variant_rules(c, schema)
     out: list[tuple[str, Column]] = []
     if "type" in schema:
         out.append(("type", _type(c, kind, schema["type"])))

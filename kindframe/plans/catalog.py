@@ -173,11 +173,18 @@ class Catalog:
         keys = F.transform(found, one)
         return F.array_max(keys) if q.desc else F.array_min(keys)
 
-    def _ordered(self, df: DataFrame, q: QuerySpec, key: Column | None) -> DataFrame:
-        cols = [c for c in (key, F.col("_id")) if c is not None]
+    def _further(self, df: DataFrame, q: QuerySpec, index: Index | None, search: bool) -> list[Column]:
+        """In find, rows of one value stand in order of the index's properties after that one."""
+        if search or not index or not q.order_by or q.order_by not in index.props:
+            return []
+        rest = [self._values(df, p, index) for p in index.props[index.props.index(q.order_by) + 1 :] if p not in ("_id", "_del")]
+        return [values.order_key(v.column) if v.variant else v.column for v in rest if not v.many]
+
+    def _ordered(self, df: DataFrame, q: QuerySpec, key: Column | None, further: list[Column] = ()) -> DataFrame:
+        cols = [c for c in (key, *further, F.col("_id")) if c is not None]
         return df.orderBy(*[c.desc() if q.desc else c.asc() for c in cols])
 
-    def _finished(self, df: DataFrame, q: QuerySpec, key: Column | None) -> DataFrame:
+    def _finished(self, df: DataFrame, q: QuerySpec, key: Column | None, further: list[Column] = ()) -> DataFrame:
         if q.distinct:
             v = resolve(df.schema, q.distinct)
             name = q.distinct.split(".")[-1]
@@ -186,32 +193,34 @@ class Catalog:
             out = out.orderBy(F.col(f"`{name}`").desc() if q.desc else F.col(f"`{name}`").asc())
             return out if q.limit is None else out.limit(q.limit)
         if not q.immediate and (key is not None or q.limit is not None or q.desc):
-            df = self._ordered(df, q, key)
+            df = self._ordered(df, q, key, further)
         if q.limit is not None:
             df = df.limit(q.limit)
         return df.select(*projection.select(df.schema, q.select)) if q.select else df
 
-    def _aggregated(self, df: DataFrame, q: QuerySpec) -> DataFrame:
+    def _aggregated(self, df: DataFrame, q: QuerySpec, ordered: bool = True) -> DataFrame:
         if q.limit is not None:  # a limit counts rows that go in
             df = self._ordered(df, q, None).limit(q.limit)
         strengths = {p: s for k in self.closure(q.kind) for i in k.indexes for p, s in i.collate.items()}
-        return aggregate(df, q.aggregate, F.col("_id"), q.desc, strengths)
+        return aggregate(df, q.aggregate, F.col("_id"), q.desc, strengths, ordered)
 
-    def find(self, query: dict, service: bool = False) -> DataFrame:
-        """Rows in order of the compared or ordering property, then _id."""
+    def find(self, query: dict, service: bool = False, ordered: bool = True) -> DataFrame:
+        """Rows in order of the compared or ordering property, the index's further properties, then _id. ordered=False
+        leaves an aggregate's groups in any order."""
         q = parse(query, service)
         check_find(q)
         if not q.order_by and not q.aggregate:
             q.order_by = next((c.prop for c in q.where if not c.equal), None)
         df, index = self._narrowed(q, False)
         if q.aggregate:
-            return self._aggregated(df, q)
+            return self._aggregated(df, q, ordered)
         key = self._sort_key(df, q, index, False)
         if key is not None and not q.distinct:
             df = df.where(key.isNotNull())
+        further = self._further(df, q, index, False)
         if q.page:
-            df = df.where(self._after(q, key))
-        return self._finished(df, q, key)
+            df = df.where(self._after(q, [c for c in (key, *further) if c is not None]))
+        return self._finished(df, q, key, further)
 
     def search(self, query: dict, service: bool = False) -> DataFrame:
         """Rows that full-text conditions and post-filters leave, sorted; rows that lack the ordering property come first."""
@@ -226,7 +235,7 @@ class Catalog:
             row = seek.first()
             if row is None:
                 raise KindError("InvalidQueryPage", q.page)
-            df = df.where(self._beyond(q, key, [*row], True))
+            df = df.where(self._beyond(q, [] if key is None else [key], [*row], True))
         return self._finished(df, q, key)
 
     def count(self, query: dict, search: bool = False) -> int:
@@ -242,30 +251,33 @@ class Catalog:
 
     # --- paging
 
-    def _after(self, q: QuerySpec, key: Column | None) -> Column:
-        return self._beyond(q, key, _unpack(q.page), False)
+    def _after(self, q: QuerySpec, keys: list[Column]) -> Column:
+        at = _unpack(q.page)
+        # A token made by hand may name fewer keys than the index has properties.
+        return self._beyond(q, keys[: len(at) - 1], at, False)
 
-    def _beyond(self, q: QuerySpec, key: Column | None, at: list, inclusive: bool) -> Column:
-        """Rows after a place in the order: by key, and by _id among equal keys."""
+    def _beyond(self, q: QuerySpec, keys: list[Column], at: list, inclusive: bool) -> Column:
+        """Rows after a place in the order: by the keys, and by _id among equal ones. Absent values come first."""
         ids, last = F.col("_id"), at[-1]
-        later = (ids <= last if inclusive else ids < last) if q.desc else (ids >= last if inclusive else ids > last)
-        if key is None:
-            return later
-        v = F.lit(at[0])
-        if at[0] is None:
-            return later & key.isNull() if q.desc else key.isNotNull() | later
-        past = key < v if q.desc else key > v
-        return past | key.isNull() & F.lit(q.desc) | (key == v) & later
+        out = (ids <= last if inclusive else ids < last) if q.desc else (ids >= last if inclusive else ids > last)
+        for key, raw in reversed(list(zip(keys, at[:-1], strict=True))):
+            if raw is None:
+                out = out & key.isNull() if q.desc else key.isNotNull() | out
+                continue
+            v = F.struct(*[F.lit(x).cast(t).alias(n) for x, (n, t) in zip(raw, values.KEY_FIELDS, strict=True)]) if isinstance(raw, (list, tuple)) else F.lit(raw)
+            out = (key < v if q.desc else key > v) | key.isNull() & F.lit(q.desc) | (key == v) & out
+        return out
 
     def find_page(self, query: dict) -> tuple[list, str | None]:
         """A page's rows and the token of the next: there is one whenever the page is full. At most limit rows come here."""
         q = parse(query)
         if q.limit is None or q.aggregate or q.distinct:
             raise KindError("InvalidQueryPage", "a page needs a limit, and rows")
-        order = q.order_by or next((c.prop for c in q.where if not c.equal), None)
-        df = self.find({k: v for k, v in query.items() if k != "select"})
-        key = [F.col(f"`{order}`") if order in df.columns else resolve(df.schema, order).column] if order else []
-        rows = df.select("*", F.struct(*[k.alias("k") for k in key], F.col("_id").alias("i")).alias("_at")).collect()
+        q.order_by = q.order_by or next((c.prop for c in q.where if not c.equal), None)
+        df, index = self.find({k: v for k, v in query.items() if k != "select"}), self._index(q, False)
+        key = self._sort_key(df, q, index, False)
+        keys = [c for c in (key, *self._further(df, q, index, False)) if c is not None]
+        rows = df.select("*", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.col("_id").alias("i")).alias("_at")).collect()
         token = _pack([*rows[-1]["_at"]]) if rows and len(rows) == q.limit else None
         keep = [c for c in (q.select or df.columns) if c in df.columns]
         return [tuple(r[c] for c in keep) for r in rows], token

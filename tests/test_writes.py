@@ -42,7 +42,7 @@ def test_merge_is_deep(spark, snap):
     assert (tuple(out[1].n), out[1].a, tuple(out[2].n), 9 in out) == ((7, 2), "a", (3, 3), True)
     assert 9 not in by_id(mutate.merge(snap, new, ignore_missing=True))
     docs = spark.createDataFrame([('{"a":{"b":1,"c":[1]}}', '{"a":{"c":[2],"d":5.0}}'), (None, "{}"), ("{}", None)], "o string, n string")
-    assert [r[0] and json.loads(r[0]) for r in docs.select(mutate.merge_json("o", "n")).collect()] == [{"a": {"b": 1, "c": [2], "d": 5.0}}, {}, {}]
+    assert [r[0] and json.loads(r[0]) for r in docs.select(F.to_json(values.laid_over(F.try_parse_json("o"), F.try_parse_json("n")))).collect()] == [{"a": {"b": 1, "c": [2], "d": 5.0}}, {}, {}]
 
 
 def test_delete_purge_batch(spark, snap):
