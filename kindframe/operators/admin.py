@@ -34,7 +34,7 @@ def kind_stats(df: DataFrame, name: str, indexes: dict[str, list[str]] | None =
 
 def usage(kinds: Iterable[tuple[str, DataFrame]]) -> DataFrame:
     """(owner, size) over the kinds of each owner."""
-    parts = [df.agg(F.coalesce(F.sum(row_size(df)), F.lit(0)).alias("size")).select(F.lit(owner).alias("owner"), "size") for owner, df in kinds]
+    parts = [df.agg(F.coalesce(F.sum(row_size(df)), F.lit(0)).cast("long").alias("size")).select(F.lit(owner).alias("owner"), "size") for owner, df in kinds]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)

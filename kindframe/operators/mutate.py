@@ -143,10 +143,12 @@ def revision_sets(old: DataFrame, new: DataFrame, sets: dict[str, list[str]]) ->
     """new with each set's column at the row's revision where one of the set's properties changed, else as it was."""
     was = old.select("_id", F.struct(*old.columns).alias("_o"))
     met = new.join(was, "_id", "left")
+    kinds = {f.name: f.dataType for f in new.schema}
     for name, props in sets.items():
         now, before = F.struct(*[F.col(p) for p in props]), F.struct(*[F.col(f"_o.{p}") for p in props])
         kept = F.col(f"_o.{name}") if name in old.columns else F.lit(None).cast("long")
-        met = met.withColumn(name, F.when(F.col("_o").isNull() | ~now.eqNullSafe(before), F.col("_rev")).otherwise(kept))
+        kind = T.StructType([T.StructField(p, kinds[p]) for p in props])
+        met = met.withColumn(name, F.when(F.col("_o").isNull() | ~values.same(now, before, kind), F.col("_rev")).otherwise(kept))
     return met.drop("_o")
 
 

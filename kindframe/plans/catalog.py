@@ -282,6 +282,19 @@ class Catalog:
         keep = [c for c in (q.select or df.columns) if c in df.columns]
         return [tuple(r[c] for c in keep) for r in rows], token
 
+    def shown(self, query: dict) -> Column | None:
+        """For a limited find that is full, the condition of rows not after its last one: what a watch of it looks at."""
+        q = parse(query)
+        if q.limit is None or q.aggregate or q.distinct:
+            return None
+        _, token = self.find_page(query)
+        if token is None:
+            return None
+        q.order_by = q.order_by or next((c.prop for c in q.where if not c.equal), None)
+        df, index = self._narrowed(q, False)
+        keys = [c for c in (self._sort_key(df, q, index, False), *self._further(df, q, index, False)) if c is not None]
+        return ~F.coalesce(self._beyond(q, keys, _unpack(token), False), F.lit(False))
+
     # --- results kept
 
     def cached(self, query: dict, search: bool = True) -> DataFrame:

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindframe.functions import text
+from kindframe.functions import text, values
 from kindframe.operators import admin, mutate, validate
 from kindframe.plans.catalog import Catalog, Index, page_of
+from kindframe.plans.database import Database
 from kindframe.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,7 +66,7 @@ simple("find_lte", "lineitem", {"select": LINE, "where": where(("l_quantity", "<
 simple("find_gt", "lineitem", {"select": LINE, "where": where(("l_quantity", ">", 45.0))}, LINE_SQL + "l_quantity > 45")
 simple("find_gte", "lineitem", {"select": LINE, "where": where(("l_quantity", ">=", 45.0))}, LINE_SQL + "l_quantity >= 45")
 simple("find_range", "lineitem", {"select": LINE, "where": where(("l_quantity", ">", 10.0), ("l_quantity", "<=", 12.0))}, LINE_SQL + "l_quantity > 10 AND l_quantity <= 12")
-simple("find_prefix", "part", {"select": PART, "where": where(("p_name", "%", "a"))}, "SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'a')")
+simple("find_prefix", "part", {"select": PART, "where": where(("p_name", "%", "bl"))}, "SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'bl')")
 simple("find_prefix_list", "part", {"select": PART, "where": where(("p_name", "%", ["b", "bl", "c"]))}, "SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'b') OR starts_with(p_name, 'c')")
 simple(
     "find_compound_eq_range", "lineitem", {"select": [*LINE, "l_returnflag"], "where": where(("l_returnflag", "=", "R"), ("l_quantity", ">=", 30.0), ("l_quantity", "<", 32.0))},
@@ -79,7 +80,14 @@ simple("find_order_limit_asc", "part", {"select": ["p_partkey", "p_size"], "orde
 simple("find_select_projection", "supplier", {"select": ["s_name", "s_acctbal"]}, "SELECT s_name, s_acctbal FROM supplier")
 simple("find_distinct", "events", {"distinct": "event_type"}, "SELECT DISTINCT event_type FROM events")
 simple("find_distinct_limit_desc", "part", {"distinct": "p_brand", "desc": True, "limit": 5}, "SELECT DISTINCT p_brand FROM part ORDER BY p_brand DESC LIMIT 5")
-simple("search_immediate_return", "part", {"select": PART, "where": where(("p_name", "%", "a")), "limit": 1_000_000, "immediateReturn": True}, "SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'a')", search=True)
+
+
+@add("search_immediate_return", "SELECT CAST(least(count(*), 20) AS BIGINT) AS n, CAST(least(count(*), 20) AS BIGINT) AS matching FROM part WHERE starts_with(p_name, 'b')")
+def search_immediate_return(spark, sf_dir):
+    """The first 20 matches that come, whichever they are: how many there are, and how many of them match."""
+    found = catalog(spark, sf_dir, "part").search({"from": "part:1", "select": PART, "where": where(("p_name", "%", "b")), "limit": 20, "immediateReturn": True})
+    return found.agg(F.count("*").alias("n"), F.count(F.when(F.col("p_name").startswith("b"), 1)).alias("matching"))
+
 
 
 @add("find_page_next", "SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey DESC) AS n FROM orders) WHERE n BETWEEN 11 AND 20")
@@ -139,7 +147,7 @@ def agg_explode_group(spark, sf_dir):
     c = Catalog(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("tokens"))
     c.put_kind("tokens:1", docs, "doc_id")
-    return c.find({"from": "tokens:1", "aggregate": {"groupBy": ["tokens"], "cnt": ["doc_id"], "max": ["doc_id"]}})
+    return c.find({"from": "tokens:1", "aggregate": {"groupBy": ["tokens"], "cnt": ["doc_id"], "max": ["doc_id"]}}, ordered=False)
 
 
 @add("search_filter_aggregate", "SELECT p_brand, count(p_size) AS cnt_p_size FROM part WHERE p_size > 10 AND contains(upper(p_type), 'ECON') GROUP BY 1")
@@ -175,7 +183,7 @@ def search_nested_json(spark, sf_dir):
     return c.search({"from": "events:1", "filter": where(("props.k", ">=", 50)), "select": ["event_id"]})
 
 
-@add("search_collated")
+@add("search_collated", "SELECT c_custkey, c_name FROM customer WHERE starts_with(upper(c_name), 'CUSTOMER')")
 def search_collated(spark, sf_dir):
     """Accents and case do not count in the order or in the prefix."""
     c = catalog(spark, sf_dir, "customer")
@@ -343,6 +351,155 @@ def text_tokens(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.size(t).alias("n"), F.array_join(t, "|").alias("words"))
 
 
+# --- schemaless kinds
+
+
+def documents_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as objects: the type, the value and the parsed props."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    doc = F.concat(F.lit('{"type":"'), "event_type", F.lit('","value":'), F.col("value").cast("string"), F.lit(',"props":'), "props", F.lit("}"))
+    return mutate.with_system(e.select("event_id", F.parse_json(doc).alias("_doc")), "event_id", 5)
+
+
+K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    get = lambda p, t: F.try_variant_get("_doc", f"$.{p}", t)
+    return df.select("_id", get("type", "string").alias("type"), get("props.k", "bigint").alias("k"), get("props.more", "boolean").alias("more"), "_rev")
+
+
+@add("put_variant", f"SELECT event_id AS _id, CASE WHEN event_id % 3 = 0 THEN 'new' ELSE event_type END AS type, CASE WHEN event_id % 3 <> 0 THEN {K} END AS k, CAST(NULL AS BOOLEAN) AS more, CASE WHEN event_id % 3 = 0 THEN 6 ELSE 5 END AS _rev FROM events")
+def put_variant(spark, sf_dir):
+    """Objects take the place of others; those of other ids that are put as they were keep their revision."""
+    old = documents_of_events(spark, sf_dir)
+    new = old.where("_id % 3 = 0").select("_id", F.parse_json(F.lit('{"type":"new"}')).alias("_doc"), F.col("_id").alias("event_id"))
+    return _shown(mutate.put(old, new.unionByName(old.where("_id % 3 = 1").select("_id", "_doc", "event_id")), check=False))
+
+
+@add("merge_variant", f"SELECT event_id AS _id, event_type AS type, {K} AS k, CASE WHEN event_id % 3 = 0 THEN true END AS more, CASE WHEN event_id % 3 = 0 THEN 6 ELSE 5 END AS _rev FROM events")
+def merge_variant(spark, sf_dir):
+    """A deep merge adds a property to an object inside the object."""
+    old = documents_of_events(spark, sf_dir)
+    new = old.where("_id % 3 = 0").select("_id", F.parse_json(F.lit('{"props":{"more":true}}')).alias("_doc"))
+    return _shown(mutate.merge(old, new))
+
+
+@add("validate_variant", f"SELECT event_id AS _id FROM events WHERE NOT (event_type IN ('click', 'view', 'error') AND value <= 60 AND {K} >= 10 AND {K} % 2 = 0)")
+def validate_variant(spark, sf_dir):
+    schema = {"type": "object", "properties": {"type": {"type": "string", "enum": ["click", "view", "error"]}, "value": {"type": "number", "maximum": 60}, "props": {"type": "object", "properties": {"k": {"type": "integer", "minimum": 10, "divisibleBy": 2}}, "additionalProperties": False}}}
+    docs = documents_of_events(spark, sf_dir)
+    return docs.where(~validate.valid(F.col("_doc"), docs.schema["_doc"].dataType, schema)).select("_id")
+
+
+@add("last_string_id", "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, 'e' || event_id) AS n FROM events) WHERE n = 1")
+def last_string_id(spark, sf_dir):
+    c = Catalog(spark)
+    c.put_kind("events:1", spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("_id", F.concat(F.lit("e"), "event_id")))
+    return c.find({"from": "events:1", "aggregate": {"groupBy": ["event_type"], "last": ["value"]}}).select("event_type", F.col("last_value.event_id").alias("event_id"))
+
+
+@add("page_variant", f"SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY {K}, event_id) AS n FROM events) WHERE n BETWEEN 31 AND 60")
+def page_variant(spark, sf_dir):
+    """The second page in order of a schemaless property."""
+    c = Catalog(spark)
+    c.put_kind("events:1", spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.try_variant_get(F.parse_json("props"), "$.k", "variant").alias("k")), "event_id")
+    query = {"from": "events:1", "orderBy": "k", "limit": 30, "select": ["event_id"]}
+    return c.find(query | {"page": c.find_page(query)[1]})
+
+
+@add("group_variant", f"SELECT CAST({K} AS VARCHAR) AS k, count(event_id) AS cnt_event_id FROM events GROUP BY 1")
+def group_variant(spark, sf_dir):
+    c = Catalog(spark)
+    c.put_kind("events:1", spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("props", F.parse_json("props")), "event_id")
+    out = c.find({"from": "events:1", "aggregate": {"groupBy": ["props.k"], "cnt": ["event_id"]}})
+    return out.select(F.col("k"), "cnt_event_id")
+
+
+@add("find_wildcard", f"SELECT event_id FROM events WHERE {K} > 90")
+def find_wildcard(spark, sf_dir):
+    """* stands for all of an object's values."""
+    c = Catalog(spark)
+    c.put_kind("events:1", spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("props", F.from_json("props", "map<string,bigint>")), "event_id")
+    return c.find({"from": "events:1", "where": where(("props.*", ">", 90)), "select": ["event_id"]})
+
+
+@add("order_by_index", "SELECT p_partkey FROM part WHERE p_brand = 'Brand#4' ORDER BY p_size DESC, p_retailprice DESC, p_partkey DESC LIMIT 15")
+def order_by_index(spark, sf_dir):
+    """Rows of one value stand in order of the index's further properties."""
+    c = catalog(spark, sf_dir, "part")
+    c.kinds["part:1"].indexes.append(Index(["p_brand", "p_size", "p_retailprice"]))
+    return c.find({"from": "part:1", "where": where(("p_brand", "=", "Brand#4")), "orderBy": "p_size", "desc": True, "limit": 15, "select": ["p_partkey"]})
+
+
+# --- calls on a database
+
+
+def database(spark: SparkSession, sf_dir: str, **kw) -> Database:
+    db = Database(Catalog(spark), **kw)
+    db.put_kind("orders:1", orders(spark, sf_dir), owner="shop")
+    return db
+
+
+@add("batch_calls", f"SELECT 'found' AS answer, count(*) AS n FROM {SNAP} WHERE NOT _del AND _id % 4 <> 0 AND o_orderstatus = 'F' UNION ALL SELECT 'left', count(*) FROM {SNAP} WHERE _id % 4 <> 0")
+def batch_calls(spark, sf_dir):
+    """A find between writes sees those before it."""
+    db = database(spark, sf_dir)
+    ids = db.catalog.kind("orders:1").df.where("_id % 4 = 0").select("_id")
+    out = db.batch([{"method": "del", "params": {"kind": "orders:1", "ids": ids}}, {"method": "find", "params": {"query": {"from": "orders:1", "where": where(("o_orderstatus", "=", "F"))}}}])
+    return out[1].agg(F.lit("found").alias("answer"), F.count("*").alias("n")).unionAll(db.catalog.kind("orders:1").df.agg(F.lit("left"), F.count("*")))
+
+
+@add("permissions_of_calls", "SELECT * FROM (VALUES ('create', false), ('delete', false), ('extend', false), ('read', true), ('update', true)) AS t(operation, may)")
+def permissions_of_calls(spark, sf_dir):
+    db = database(spark, sf_dir, caller="com.app.list")
+    db.put_permissions([{"object": "orders:1", "caller": "com.app.*", "operations": {"read": "allow", "update": "allow", "delete": "deny"}}])
+    return spark.createDataFrame([(o, db.may(o, "orders:1")) for o in admin.OPERATIONS], "operation string, may boolean")
+
+
+@add("watched_find", f"WITH t AS (SELECT * FROM {SNAP} WHERE NOT _del ORDER BY o_totalprice, _id LIMIT 10) SELECT _id FROM {SNAP} WHERE (o_totalprice, _id) <= (SELECT (o_totalprice, _id) FROM t ORDER BY o_totalprice DESC, _id DESC LIMIT 1)")
+def watched_find(spark, sf_dir):
+    """Changes up to a limited find's last row fire its watch; here all rows are changes."""
+    db = database(spark, sf_dir)
+    _, w = db.find_watched({"from": "orders:1", "orderBy": "o_totalprice", "limit": 10})
+    return w.fired(orders(spark, sf_dir)).select("_id")
+
+
+@add("purge_status", f"SELECT (SELECT max(_rev) // 10 * 10 FROM {SNAP} WHERE _rev <= 45) AS rev, count(*) AS n FROM {SNAP} WHERE NOT (_del AND _rev <= 40)")
+def purge_status(spark, sf_dir):
+    db = database(spark, sf_dir)
+    db.purge(spark.range(0, 100, 10).select(F.col("id").alias("rev"), F.col("id").alias("ts")), F.lit(45))
+    return db.catalog.kind("orders:1").df.agg(F.lit(db.purge_status()).cast("long").alias("rev"), F.count("*").alias("n"))
+
+
+# --- scalar helpers
+
+
+@add("coerced_values", f"SELECT event_id, CAST(trunc(value) AS BIGINT) AS whole, CAST({K} <> 0 AS BOOLEAN) AS flag, CAST({K} AS VARCHAR) AS shown, CAST(CAST(value AS DECIMAL(19, 6)) AS DOUBLE) AS number FROM events")
+def coerced_values(spark, sf_dir):
+    docs = documents_of_events(spark, sf_dir)
+    get = lambda p: F.try_variant_get("_doc", f"$.{p}", "variant")
+    return docs.select(F.col("_id").alias("event_id"), values.as_int(get("value")).alias("whole"), values.as_bool(get("props.k")).alias("flag"), values.as_text(get("props.k")).alias("shown"), values.as_decimal(get("value")).cast("double").alias("number"))
+
+
+@add("base64_texts", "SELECT s_suppkey, base64(CAST(s_name AS BLOB)) AS mime, s_name AS again FROM supplier")
+def base64_texts(spark, sf_dir):
+    """There and back, through the alphabet of ids too."""
+    raw = F.encode("s_name", "utf-8")
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", values.to_base64(raw).alias("mime"), F.decode(values.from_base64(values.to_base64(raw, True), True), "utf-8").alias("again"))
+
+
+@add("object_hashes", "SELECT count(DISTINCT (event_type, value, props)) AS n FROM events")
+def object_hashes(spark, sf_dir):
+    return documents_of_events(spark, sf_dir).agg(F.count_distinct(values.object_hash(F.col("_doc"))).alias("n"))
+
+
+@add("string_helpers", "SELECT p_partkey, string_split(p_name, ' ')[1] AS first_word, len(string_split(p_name, ' ')) AS n, upper(p_name) = upper('BLUE bolt') AS same, CASE WHEN upper(p_name) < 'H' THEN -1 WHEN upper(p_name) > 'H' THEN 1 ELSE 0 END AS side FROM part")
+def string_helpers(spark, sf_dir):
+    words = text.pieces(F.col("p_name"), " ")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", words[0].alias("first_word"), F.size(words).cast("long").alias("n"), text.equal_caseless(F.col("p_name"), F.lit("BLUE bolt")).alias("same"), text.compare_caseless(F.col("p_name"), F.lit("h")).alias("side"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The flagship: the largest open orders."""
     return catalog(spark, "/root/testdata/sf0.001", "orders").find({"from": "orders:1", "where": where(("o_orderstatus", "=", "O")), "orderBy": "o_totalprice", "desc": True, "limit": 10})

@@ -18,8 +18,12 @@ def dump(df: DataFrame, path: str, kind: str, deleted: bool = False) -> None:
 def load_lines(spark: SparkSession, path: str) -> DataFrame:
     """(_kind, _id, _del, _doc) of each object in a dump; _doc is a variant, so that 5 and 5.0 stay apart. Lines that are
     no JSON object are left out."""
-    doc = F.try_parse_json(F.col("value"))
-    rows = spark.read.text(path).select(doc.alias("_doc")).where(F.schema_of_variant("_doc").startswith("OBJECT"))
+    return objects(spark.read.text(path))
+
+
+def objects(values: DataFrame) -> DataFrame:
+    """load_lines() of a column value of JSON texts."""
+    rows = values.select(F.try_parse_json(F.col("value")).alias("_doc")).where(F.schema_of_variant("_doc").startswith("OBJECT"))
     get = lambda p, t: F.try_variant_get("_doc", f"$.{p}", t)
     return rows.select(get("_kind", "string").alias("_kind"), get("_id", "string").alias("_id"), F.coalesce(get("_del", "boolean"), F.lit(False)).alias("_del"), "_doc")
 

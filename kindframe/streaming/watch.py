@@ -48,8 +48,8 @@ def watch(changes: DataFrame, query: dict, on_fire: Callable[[DataFrame], None],
 
     def each(batch: DataFrame, _: int) -> None:
         if not done and not batch.isEmpty():
-            done.append(True)
             on_fire(batch)
+            done.append(True)
 
     started = fired(changes, query, bound, before).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime="1 second").start()
     query_.append(started)
