@@ -89,9 +89,9 @@ def _solved(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def _quotas(rows: DataFrame, weights: tuple[float, ...]) -> DataFrame:
-    """Stored: each distinct (_src, _size, _row) of rows with its number _c, _source_size, _target, and its copies: all rows are
-    taken _base times, and _x of them once more."""
-    keys = rows.groupBy("_src", "_size", "_row").agg(F.count("*").alias("_c"))
+    """Stored: each distinct (_src, _row) of rows (_src, _size, _row) with its _size, number _c, _source_size, _target, and its
+    copies: all rows are taken _base times, and _x of them once more."""
+    keys = rows.groupBy("_src", "_row").agg(F.min("_size").alias("_size"), F.count("*").alias("_c"))
     keys = stored(keys.withColumn("_part", F.pmod(F.col("_row"), F.lit(PARTS)).cast("int")), "sizes")
     cells = stored(keys.groupBy("_src", "_size", "_part").agg(F.sum("_c").alias("_n")), "cells")
     sizes = stored(cells.groupBy("_src", "_size").agg(F.sum("_n").alias("_n")), "histogram")
@@ -133,7 +133,8 @@ def _quotas(rows: DataFrame, weights: tuple[float, ...]) -> DataFrame:
 def _copied(rows: DataFrame, weights: tuple[float, ...]) -> DataFrame:
     """rows (_src, _size, _row, and whatever else) plus _source_size, _target, _copies."""
     quotas = _quotas(rows.select("_src", "_size", "_row"), weights)
-    met = rows.join(quotas, ["_src", "_size", "_row"])
+    # The size comes with the quota, so that words are counted once.
+    met = rows.drop("_size").join(quotas, ["_src", "_row"])
     whole = met.where("_x = 0 OR _x = _c").withColumn("_copies", F.col("_base") + F.when(F.col("_x") > 0, 1).otherwise(0))
     split = quotas.where("_x > 0 AND _x < _c").select("_src", "_row", "_c", "_x")
     if split.isEmpty():
