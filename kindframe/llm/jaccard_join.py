@@ -13,7 +13,8 @@
    blocks of the group's members; a block is opened for a class only if its overlap with the block's union reaches three
    quarters, and then it is held against each member of a larger component.
 Links inside a component are implied; all others are found by 4 and 5, so components are exact (but for
-collisions of 64-bit hashes; 48 bits of them in the buckets can only let more classes through).
+collisions of single shingles' 64-bit hashes; 48 bits of them in the buckets can only let more classes through). Sets
+that share a key by chance are found and keyed anew.
 """
 
 from __future__ import annotations
@@ -73,8 +74,15 @@ def shingles(text: str | None, words: Words) -> np.ndarray:
     return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
-def set_key(tokens: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(tokens.tobytes()) >> 1
+def set_key(tokens: np.ndarray, met: frozenset[int] = frozenset()) -> int:
+    """63 bits for a set. met has the keys that unlike sets were found to share: these have another one."""
+    raw = tokens.tobytes()
+    key = xxhash.xxh3_64_intdigest(raw) >> 1
+    return other_key(raw) if key in met else key
+
+
+def other_key(raw: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(raw, seed=7) >> 1
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -94,22 +102,23 @@ def least_overlap(n: int) -> int:
 
 @slim
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_id, _row, _text -> _id, _row, _n, _set."""
+    """_id, _row, _text -> _id, _row, _n, _set, _other."""
     words = Words()
     for b in batches:
-        n, keys = [], []
+        n, keys, others = [], [], []
         for t in each(b.column(2)):
             s = shingles(t, words)
             n.append(len(s))
             keys.append(set_key(s))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.int64())], ["_id", "_row", "_n", "_set"])
+            others.append(other_key(s.tobytes()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in (n, keys, others)]], ["_id", "_row", "_n", "_set", "_other"])
 
 
 BLOBS = "_bucket int, _chunk long, _keys binary, _sets binary, _sizes binary"
 
 
 @slim
-def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _dealt(batches: Iterator[pa.RecordBatch], buckets: int, met: frozenset[int]) -> Iterator[pa.RecordBatch]:
     """Sorted keys (48 bits of a token, 16 of its owner in the chunk) by bucket; and each chunk's sets once, to some bucket."""
     words, serial, base = Words(), 0, TaskContext.get().partitionId() << 24
     limits = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
@@ -142,7 +151,7 @@ def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
     for b in batches:
         for t in each(b.column(0)):
             s = shingles(t, words)
-            if not len(s) or (k := set_key(s)) in seen:
+            if not len(s) or (k := set_key(s, met)) in seen:
                 continue
             seen.add(k)
             tokens.append(s)
@@ -245,8 +254,8 @@ CHUNKS = "_chunk long, _sets binary, _sizes binary, _tokens binary"
 
 
 @slim
-def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_set, _text -> chunks of classes with their tokens."""
+def _chunked(batches: Iterator[pa.RecordBatch], met: frozenset[int]) -> Iterator[pa.RecordBatch]:
+    """_set, _text -> chunks of classes with their tokens. A text that came by a row's key but has another set is left out."""
     words, serial, base = Words(), 0, TaskContext.get().partitionId() << 24
     sets, tokens, held = [], [], 0
 
@@ -256,6 +265,8 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for k, t in zip(*(each(c) for c in b.columns), strict=True):
             s = shingles(t, words)
+            if set_key(s, met) != k:
+                continue
             sets.append(k)
             tokens.append(s)
             held += len(s)
@@ -497,15 +508,19 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     rows = docs.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col)).alias("_row"), F.col(text_col).alias("_text"))
     kind = dict(rows.dtypes)["_id"]
-    keyed = stored(rows.mapInArrow(_keyed, f"_id {kind}, _row long, _n long, _set long"), "classes")
-    total = keyed.agg(F.sum("_n")).first()[0] or 0
+    hashed = stored(rows.mapInArrow(_keyed, f"_id {kind}, _row long, _n long, _set long, _other long"), "classes")
+    total = hashed.agg(F.sum("_n")).first()[0] or 0
+    # Of n texts about n^2 / 2^64 pairs of unlike sets share a key, hardly one in 4 billion texts: so few that all tasks know them.
+    shared_keys = hashed.groupBy("_set").agg(F.min("_other").alias("_a"), F.max("_other").alias("_z")).where("_a < _z").select("_set").collect()
+    met = frozenset(r["_set"] for r in shared_keys)
+    keyed = hashed.withColumn("_set", F.when(F.col("_set").isin(list(met)), F.col("_other")).otherwise(F.col("_set"))) if met else hashed
     buckets = max(tasks(docs.sparkSession), -(-total // BUCKET))
-    blobs = rows.select("_text").mapInArrow(lambda b: _dealt(b, buckets), BLOBS).repartitionById(buckets, F.col("_bucket"))
+    blobs = rows.select("_text").mapInArrow(lambda b: _dealt(b, buckets, met), BLOBS).repartitionById(buckets, F.col("_bucket"))
     shared = blobs.mapInArrow(_met, SHARED).repartition("_chunk").sortWithinPartitions("_chunk")
     able = stored(shared.mapInArrow(_summed, "_set long, _apart long").groupBy("_set").agg(F.min("_apart").alias("_apart")), "able")
     # One row of each of these classes brings its text.
     one = stored(keyed.join(able, "_set").groupBy("_set").agg(F.min("_row").alias("_row")), "representatives")
-    chunks = stored(_asked_for(rows.select("_row", "_text"), one).join(one, "_row").select("_set", "_text").mapInArrow(_chunked, CHUNKS), "tokens")
+    chunks = stored(_asked_for(rows.select("_row", "_text"), one).join(one, "_row").select("_set", "_text").mapInArrow(lambda b: _chunked(b, met), CHUNKS), "tokens")
     near, pairs = _grouped(chunks, able)
     roots = components(near)
     more = _between(chunks, roots, pairs, buckets)
@@ -515,7 +530,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     dropped(able, one, chunks, near, pairs)
     whole = keyed.join(roots.withColumnRenamed("node", "_set"), "_set", "left").withColumn("_c", F.coalesce("root", "_set"))
     whole = stored(whole.select("_id", "_row", "_n", "_set", "_c"), "members")
-    dropped(keyed, roots)
+    dropped(hashed, roots)
     least = whole.where("_n > 0").groupBy("_c").agg(F.min("_id").alias("_least"), F.count("*").alias("_size")).where("_size > 1").select("_c", "_least")
     out = whole.join(stored(least, "least"), "_c", "left")
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(F.col("_n") > 0, F.coalesce("_least", "_id")).otherwise(F.col("_id")).alias("component_id"), F.col("_set").alias("set_id"), F.col("_row").alias("row_key"), F.col("_c").alias("_root"))
@@ -537,11 +552,31 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     key = row_key(F.col("_doc").getField(id_col), F.col("_doc").getField(text_col))
     keyed = packed.withColumn("_row", key)
     single = keyed.join(stay.where("_many IS NULL"), F.col("_row") == F.col("_stay"), "left_semi").select("_doc.*")
-    # Partial aggregation sends one row of a key a task.
-    first = keyed.join(stay.where("_many"), F.col("_row") == F.col("_stay"), "left_semi").groupBy("_row").agg(F.first("_doc").alias("_doc")).select("_doc.*")
+    # Partial aggregation sends one row of a key a task. A second hash tells rows apart whose keys meet by chance.
+    other = F.xxhash64(F.lit("other"), F.col("_doc").getField(id_col), F.col("_doc").getField(text_col))
+    first = keyed.join(stay.where("_many"), F.col("_row") == F.col("_stay"), "left_semi").groupBy("_row", other.alias("_other")).agg(F.first("_doc").alias("_doc")).select("_doc.*")
     return single.unionAll(first)
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "n_shingles", "component_id")
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM w
+), n AS (
+  SELECT w.doc_id, count(s) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)
+), r AS (
+  SELECT doc_id, doc_id AS root FROM n UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id
+)
+SELECT doc_id, n AS n_shingles, (SELECT min(root) FROM r WHERE r.doc_id = n.doc_id) AS component_id FROM n
+"""

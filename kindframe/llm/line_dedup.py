@@ -1,7 +1,7 @@
 """Line dedup: lines that many documents share are dropped from all of them but one.
 
 Native DataFrame operations only. The texts themselves are shuffled once, to meet the positions of their dropped
-lines; what is exploded, hashed and counted are pairs of a position and a 64-bit hash.
+lines; what is exploded, hashed and counted are positions with 128 bits of hashes.
 """
 
 from __future__ import annotations
@@ -23,13 +23,16 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     that at least min_docs distinct ids hold are dropped everywhere but in the largest id that holds them.
     """
     rows = docs.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col)).alias("_row"), F.transform(_lines(F.col(text_col)), lambda x: F.btrim(x, F.lit(WHITE))).alias("_lines"))
-    keyed = rows.select("_id", "_row", F.transform("_lines", lambda x: F.when(F.length(x) >= min_chars, F.xxhash64(ascii_lower(x)))).alias("_keys"))
-    held = stored(keyed.select("_id", "_row", F.posexplode("_keys").alias("_pos", "_key")).where("_key IS NOT NULL"), "lines")
+    lowered = F.transform("_lines", lambda x: F.when(F.length(x) >= min_chars, ascii_lower(x)))
+    # Two hashes, 128 bits: with one, some of very many lines would meet a common one by chance.
+    hashes = lambda x: F.when(x.isNotNull(), F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("b"), x).alias("b")))
+    keyed = rows.select("_id", "_row", F.transform(lowered, hashes).alias("_keys"))
+    held = stored(keyed.select("_id", "_row", F.posexplode("_keys").alias("_pos", "_key")).where("_key IS NOT NULL").select("_id", "_row", "_pos", F.col("_key.a").alias("_key"), F.col("_key.b").alias("_key2")), "lines")
     # A null id is one document of its own; it is never the largest unless it is alone.
-    counts = held.groupBy("_key").agg((F.count_distinct("_id") + F.max(F.col("_id").isNull().cast("int"))).alias("_n"), F.max("_id").alias("_keep"))
+    counts = held.groupBy("_key", "_key2").agg((F.count_distinct("_id") + F.max(F.col("_id").isNull().cast("int"))).alias("_n"), F.max("_id").alias("_keep"))
     # Written, so that the join deals both sides anew and can split the rows of a very common line over tasks.
-    common = stored(counts.where(F.col("_n") >= min_docs).select("_key", "_keep"), "common")
-    lost = held.join(common, "_key").where(~F.col("_id").eqNullSafe(F.col("_keep")))
+    common = stored(counts.where(F.col("_n") >= min_docs).select("_key", "_key2", "_keep"), "common")
+    lost = held.join(common, ["_key", "_key2"]).where(~F.col("_id").eqNullSafe(F.col("_keep")))
     return lost.groupBy("_row", "_id").agg(F.sort_array(F.collect_set("_pos")).alias("_drop"))
 
 

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_cotraining": cotraining.op9_cotraining,
     "op10_html_text": html_text.op10_html_text,
 }
-ORACLES = {"op1_line_dedup": line_dedup.OP1_SQL, "op3_bitslice_topk": bitslice_topk.OP3_SQL, "op5_warc_zip": warc_zip.OP5_SQL, "op8_secret_scan": secret_scan.OP8_SQL}
+ORACLES = {"op1_line_dedup": line_dedup.OP1_SQL, "op3_bitslice_topk": bitslice_topk.OP3_SQL, "op5_warc_zip": warc_zip.OP5_SQL, "op7_jaccard_join": jaccard_join.OP7_SQL, "op8_secret_scan": secret_scan.OP8_SQL}
