@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -309,6 +309,15 @@ def _told(pool: DataFrame, now: dict[str, list[View]], teaches: dict[str, list[b
     return out
 
 
+def _optional(docs: DataFrame, name: str) -> Column:
+    """A column, or a field of one, as text; null where docs has none."""
+    outer, _, inner = name.partition(".")
+    if name in docs.columns:
+        return F.col(f"`{name}`").cast("string")
+    there = outer in docs.columns and isinstance(docs.schema[outer].dataType, T.StructType) and inner in docs.schema[outer].dataType.names
+    return (F.col(outer).getField(inner) if there else F.lit(None)).cast("string")
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", most_labelled: int = MOST_LABELLED, rounds: int = ROUNDS) -> Model:
     """A model from labels (id_col, quality, toxic: 0, 1 or null). Without labels of both kinds a question is not asked.
 
@@ -319,9 +328,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = lambda c: F.xxhash64(F.lit("fit"), F.col(c))
     known = docs.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL")
     some = told.where("_quality IS NOT NULL OR _toxic IS NOT NULL").join(known, F.col("_l") == F.col("_id"), "left_semi").orderBy(order("_l"), "_l").limit(most_labelled)
-    opt = lambda c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")
     # Bounded by its limit, so it may be broadcast.
-    met = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), opt(lang_col).alias("_lang"), opt(source_col).alias("_source")).join(F.broadcast(some), F.col("_id") == F.col("_l"), "left")
+    met = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), _optional(docs, lang_col).alias("_lang"), _optional(docs, source_col).alias("_source")).join(F.broadcast(some), F.col("_id") == F.col("_l"), "left")
     made = met.select("_text", "_lang", "_source", "_quality", "_toxic", order("_id").alias("_o")).mapInArrow(_features, "_c binary, _p binary, _quality int, _toxic int, _o long")
     features = stored(made, "features")
     labelled = F.col("_quality").isNotNull() | F.col("_toxic").isNotNull()
@@ -358,8 +366,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str =
     """
     added = ("p_quality", "p_toxic", "keep")
     keep = [c for c in docs.columns if c not in added]
-    opt = lambda c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text_col), F.lit("")).alias("_text"), opt(lang_col).alias("_lang"), opt(source_col).alias("_source"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text_col), F.lit("")).alias("_text"), _optional(docs, lang_col).alias("_lang"), _optional(docs, source_col).alias("_source"))
     schema = T.StructType([*[f for f in rows.schema if f.name.startswith("_k")], T.StructField("_q", T.DoubleType()), T.StructField("_t", T.DoubleType())])
     heads = [model.heads.get(h) for h in HEADS]
 
