@@ -12,6 +12,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import itertools
 import json
 import struct
 import urllib.parse
@@ -26,11 +27,13 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindframe.llm.store import new_path, stored
+from kindframe.llm.store import new_path, slim, stored, tasks
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: A package is closed at this many bytes of records; reads that touch are joined up to the second figure.
 PACKAGE, READ = 32 << 20, 4 << 20
+#: One task reads such a stretch of a package.
+SPLIT = 32 << 20
 LEAST = 100
 PAGE = "urn:page:"
 PACKAGES = "path string, records long"
@@ -227,11 +230,12 @@ def _walked(f: pa.NativeFile, at: int, m: Member) -> Iterator[tuple[int, int]]:
         pos = read - len(d.unused_data)
 
 
-def ranges(f: pa.NativeFile) -> list[tuple[int, int, str | None]]:
-    """(offset in the package, length, URL if the index has it) of each record, in order of offset."""
+def ranges(f: pa.NativeFile) -> Iterator[tuple[int, int, str | None]]:
+    """(offset in the package, length, URL if the index has it) of each record: those of indexes in their order, then those of
+    archives that no index names."""
     members = {m.name: m for m in directory(f)}
     starts = {n: content_at(f, m) for n, m in members.items() if n.startswith(("archive/", "indexes/"))}
-    out, indexed = [], set()
+    indexed = set()
     for n in starts:
         if n.startswith("indexes/") and n.endswith((".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz")):
             for line in _lines(f, starts[n], members[n]):
@@ -240,11 +244,10 @@ def ranges(f: pa.NativeFile) -> list[tuple[int, int, str | None]]:
                 x = json.loads(line[line.index("{") :])
                 name = x["filename"] if "/" in x["filename"] else f"archive/{x['filename']}"
                 indexed.add(name)
-                out.append((starts[name] + int(x["offset"]), int(x["length"]), x.get("url")))
+                yield starts[name] + int(x["offset"]), int(x["length"]), x.get("url")
     for n in starts:
         if n.startswith("archive/") and n not in indexed:
-            out += [(*r, None) for r in _walked(f, starts[n], members[n])]
-    return sorted(out, key=lambda x: x[:2])
+            yield from ((*r, None) for r in _walked(f, starts[n], members[n]))
 
 
 def parsed(raw: bytes) -> tuple[dict[str, str], bytes, bytes]:
@@ -261,51 +264,77 @@ def _page(uri: str | None) -> str | None:
     return urllib.parse.unquote(uri.strip("<>").removeprefix(PAGE)) if uri else None
 
 
+@slim
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packages -> their records' places, some at a time."""
+    for b in batches:
+        for path in b.column(0).to_pylist():
+            fs, name = opened(path)
+            with fs.open_input_file(name) as f:
+                places = ranges(f)
+                while some := list(itertools.islice(places, 10_000)):
+                    at, n, url = zip(*some, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(at)), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(url, pa.string())], ["path", "at", "n", "url"])
+
+
+@slim
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places in order of path and offset -> records. Places that touch are read together."""
     names = [x.split()[0] for x in RECORDS.split(", ")]
     kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+    rows, size, now, f = [], 0, None, None
 
-    def batch(rows):
+    def batch():
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    for b in batches:
-        for path in b.column(0).to_pylist():
-            fs, name = opened(path)
-            with fs.open_input_file(name) as f:
-                todo, rows, size = ranges(f), [], 0
-                i = 0
-                while i < len(todo):
-                    j, end = i + 1, todo[i][0] + todo[i][1]
-                    while j < len(todo) and todo[j][0] == end and end - todo[i][0] < READ:
-                        end += todo[j][1]
-                        j += 1
-                    f.seek(todo[i][0])
-                    chunk = f.read(end - todo[i][0])
-                    for at, n, url in todo[i:j]:
-                        fields, http, payload = parsed(chunk[at - todo[i][0] : at - todo[i][0] + n])
-                        digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
-                        kind = fields["WARC-Type"]
-                        if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
-                            raise ValueError(f"{path}: the payload at {at} does not have its record's digest")
-                        length = int(http.lower().partition(b"content-length:")[2].split(b"\r\n")[0])
-                        rows.append((_page(fields["WARC-Record-ID"]), url, kind, _page(fields.get("WARC-Refers-To")), length, digest, payload if kind == "response" else None))
-                        size += len(payload)
-                        if size > READ:
-                            yield batch(rows)
-                            rows, size = [], 0
-                    i = j
-                if rows:
-                    yield batch(rows)
+    try:
+        for b in batches:
+            todo = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
+            i = 0
+            while i < len(todo):
+                path, first = todo[i][:2]
+                j, end = i + 1, first + todo[i][2]
+                while j < len(todo) and todo[j][0] == path and todo[j][1] == end and end - first < READ:
+                    end += todo[j][2]
+                    j += 1
+                if path != now:
+                    if f:
+                        f.close()
+                    fs, name = opened(path)
+                    now, f = path, fs.open_input_file(name)
+                f.seek(first)
+                chunk = f.read(end - first)
+                for _, at, n, url in todo[i:j]:
+                    fields, http, payload = parsed(chunk[at - first : at - first + n])
+                    digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
+                    kind = fields["WARC-Type"]
+                    if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
+                        raise ValueError(f"{path}: the payload at {at} does not have its record's digest")
+                    length = int(http.lower().partition(b"content-length:")[2].split(b"\r\n")[0])
+                    rows.append((_page(fields["WARC-Record-ID"]), url, kind, _page(fields.get("WARC-Refers-To")), length, digest, payload if kind == "response" else None))
+                    size += len(payload)
+                    if size > READ:
+                        yield batch()
+                        rows, size = [], 0
+                i = j
+        if rows:
+            yield batch()
+    finally:
+        if f:
+            f.close()
 
 
 def read_packages(packages: DataFrame) -> DataFrame:
     """The records of packages (path, ...): page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload.
 
-    One task reads one package at a time, by ranges. A revisit's payload is null; its size and digest are the full
-    payload's. Null URLs stay null, and no package gives no row.
+    Records' places are listed from each package's directory and index, and dealt by stretches of SPLIT bytes, so that a
+    large package is read by many tasks. A revisit's payload is null; its size and digest are the full payload's. Null URLs
+    stay null, and no package gives no row.
     """
     n = max(1, packages.count())
-    return packages.select("path").repartition(n).mapInArrow(_read, RECORDS)
+    places = packages.select("path").repartition(n).mapInArrow(_listed, "path string, at long, n long, url string")
+    dealt = places.repartition(max(n, tasks(packages.sparkSession)), "path", F.floor(F.col("at") / SPLIT)).sortWithinPartitions("path", "at")
+    return dealt.mapInArrow(_read, RECORDS)
 
 
 def op5_warc_zip(spark, sf_dir: str) -> DataFrame:

@@ -271,14 +271,14 @@ def test_directories(tmp_path, monkeypatch, limit):
     fs, path = warc_zip.opened(str(tmp_path / "p.wacz"))
     with fs.open_input_file(path) as f:
         assert [m.name for m in warc_zip.directory(f)] == ["datapackage.json", "archive/x.warc.gz"]
-        found = warc_zip.ranges(f)
+        found = list(warc_zip.ranges(f))
         assert [n for _, n, _ in found] == [len(r) for r in records]
         for (at, n, _), r in zip(found, records, strict=True):
             f.seek(at)
             assert f.read(n) == r
     (tmp_path / "q.wacz").write_bytes(warc_zip.package(records, [{"key": str(i), "url": None} for i in range(20)]))
     with fs.open_input_file(str(tmp_path / "q.wacz")) as f:
-        assert len(warc_zip.ranges(f)) == 20
+        assert len(list(warc_zip.ranges(f))) == 20
 
 
 @pytest.mark.parametrize(("name", "method"), [("indexes/index.cdx.gz", zipfile.ZIP_STORED), ("indexes/index.cdxj", zipfile.ZIP_DEFLATED), ("indexes/index.cdx.gz", zipfile.ZIP_DEFLATED)])
