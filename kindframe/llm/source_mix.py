@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindframe.llm.store import WORD, dropped, row_key, stored
+from kindframe.llm.store import WORD, dropped, row_key, stored, tasks
 
 MOST = 3
 ITERATIONS = 60
@@ -35,10 +35,15 @@ def _source(c: Column) -> Column:
 
 
 def _targets(sources: DataFrame, weights: tuple[float, ...]) -> DataFrame:
-    """(_src, _source_size, _target) from (_src, _source_size). One row a source, and few scalars to the driver."""
+    """(_src, _source_size, _target) from (_src, _source_size). Few scalars reach the driver."""
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    t = sources.withColumn("_w", F.get(cycle, ((F.row_number().over(Window.orderBy("_src")) - 1) % len(weights)).cast("int")))
-    t = stored(t.withColumn("_cap", (F.col("_source_size") * MOST).cast("double")), "sources")
+    # Ranks by ranges of sources and the number of those in earlier ranges: no task has all sources.
+    ranged = stored(sources.repartitionByRange(tasks(sources.sparkSession), "_src").withColumn("_p", F.spark_partition_id()), "sources")
+    counts = ranged.groupBy("_p").agg(F.count("*").alias("_in"))
+    earlier = counts.select("_p", (F.sum("_in").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_in")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy("_src")) - 1 + F.col("_before")
+    t = ranged.join(earlier, "_p").withColumn("_w", F.get(cycle, (rank % len(weights)).cast("int"))).drop("_p", "_before")
+    t = stored(t.withColumn("_cap", (F.col("_source_size") * MOST).cast("double")), "weights")
     whole = float(t.agg(F.sum("_source_size")).first()[0] or 0)
     # The capped sources are those whose cap is below their weight times the level; each round can only add to them.
     level = 0.0
