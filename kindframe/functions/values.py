@@ -23,6 +23,8 @@ KEY = "struct<rank:int,d:decimal(25,6),i:bigint,s:string>"
 ID_DIGITS = "".join(sorted(string.ascii_letters + string.digits + "+_"))
 #: Objects nest no deeper.
 DEPTH = 32
+#: json_text() goes so deep, as Spark resolves no more nested functions.
+TEXT_DEPTH = 16
 OBJECT_MAP = "map<string,variant>"
 
 
@@ -112,6 +114,25 @@ def laid_over(old: Column, new: Column, depth: int = DEPTH) -> Column:
     return F.when(new.isNull(), old).when(old.isNull() | ~(is_object(old) & is_object(new)), new).otherwise(both)
 
 
+def json_text(v: Column, depth: int = TEXT_DEPTH) -> Column:
+    """A variant as JSON text in which decimals keep a fraction, as 5.0 and 5 are of two types; further down than depth whole
+    decimals lose theirs."""
+    kind = F.schema_of_variant(v)
+    number = decimal_text(F.try_variant_get(v, "$", "decimal(25,6)"))
+    plain = F.when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), number).otherwise(F.to_json(v))
+    if not depth:
+        return plain
+    # Objects and arrays as one list of what stands before each value, and the value.
+    props = F.transform(F.array_sort(F.map_keys(v.cast(OBJECT_MAP))), lambda k: F.struct(F.to_json(F.struct(k.alias("k"))).alias("p"), v.cast(OBJECT_MAP)[k].alias("v")))
+    # to_json of {"k": name} is the name quoted between a fixed head and tail.
+    props = F.transform(props, lambda x: F.struct(F.concat(F.substring(x["p"], F.lit(6), F.length(x["p"]) - 6), F.lit(":")).alias("p"), x["v"].alias("v")))
+    items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.struct(F.lit("").alias("p"), x.alias("v")))
+    inside = F.array_join(F.transform(F.when(is_object(v), props).otherwise(items), lambda x: F.concat(x["p"], json_text(x["v"], depth - 1))), ",")
+    # inside stands here once, as each level would double it otherwise.
+    whole = F.concat(F.when(is_object(v), "{").otherwise("["), inside, F.when(is_object(v), "}").otherwise("]"))
+    return F.when(is_object(v) | kind.startswith("ARRAY"), whole).otherwise(plain)
+
+
 def object_hash(v: Column) -> Column:
     """A 64-bit hash of a variant's whole content; the order of an object's properties does not count."""
     return F.xxhash64(F.to_json(v), F.schema_of_variant(v))

@@ -70,6 +70,12 @@ class Catalog:
         self._cache: dict[str, tuple[int, DataFrame]] = {}
         self._version: dict[str, int] = {}
 
+    def set_locale(self, locale: str | None) -> None:
+        """Collate by another locale from now on; kept results are of the old one and go."""
+        self.locale = locale
+        for name in self._version:
+            self._version[name] += 1
+
     # --- kinds
 
     def put_kind(self, name: str, df: DataFrame, id_col: str = "_id", **more) -> Kind:

@@ -85,6 +85,15 @@ class Database:
     def _timed(self, name: str, call: Callable[[], Any]) -> Any:
         return self.profile.run(self.caller or "", name, call) if self.profile else call()
 
+    def get_profile(self, query: dict) -> DataFrame:
+        """A find over the calls so far, whatever the query's kind is named."""
+        if not self.profile:
+            raise KindError("InvalidOperation", "no profile")
+        calls = self.profile.table(self.catalog.spark).withColumn("_id", F.monotonically_increasing_id())
+        own = Catalog(self.catalog.spark)
+        own.put_kind(query["from"], calls)
+        return own.find(query)
+
     # --- kinds and writes
 
     def put_kind(self, name: str, df: DataFrame, **more) -> Kind:
@@ -244,6 +253,17 @@ class Database:
             self._replace(kind, mutate.delete_ids(new, gone, purge=True))
         return counts
 
+    def dump(self, path: str, deleted: bool = False) -> None:
+        """Write kinds, permissions and all objects, one a line, in folders of their own below path; load() takes them back
+        from path + "/*"."""
+        spark = self.catalog.spark
+        rules = [json.dumps(r | {"_kind": "Permission:1"}) for r in self.permissions]
+        kinds = [json.dumps({"_kind": "Kind:1", "id": k.name, "owner": k.owner, "extends": k.extends}) for k in self.catalog.kinds.values()]
+        spark.createDataFrame([(x,) for x in kinds + rules], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/kinds")
+        for kind in self.catalog.kinds.values():
+            folder = f"{path}/objects-{kind.name.replace(':', '-')}"
+            jsonio.dump_documents(kind.df, folder, kind.name, deleted) if "_doc" in kind.df.columns else jsonio.dump(kind.df, folder, kind.name, deleted)
+
     def restore(self, paths: list[str]) -> dict[str, int]:
         """Load the files of a full backup and of the incremental ones after it, in their order."""
         total: dict[str, int] = {}

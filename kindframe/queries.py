@@ -472,6 +472,46 @@ def purge_status(spark, sf_dir):
     return db.catalog.kind("orders:1").df.agg(F.lit(db.purge_status()).cast("long").alias("rev"), F.count("*").alias("n"))
 
 
+@add("shards_activated", "SELECT n_nationkey AS _shard FROM nation WHERE n_regionkey = 2")
+def shards_activated(spark, sf_dir):
+    """A region's shards become active: all watches fire for them."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").withColumnRenamed("n_nationkey", "_shard")
+    return watch.activated(n.where("n_regionkey < 2"), n.where("n_regionkey <= 2"))
+
+
+@add("profile_of_calls", "SELECT 'find' AS operation, 2 AS cnt_seconds UNION ALL SELECT 'merge', 1")
+def profile_of_calls(spark, sf_dir):
+    db = database(spark, sf_dir)
+    db.start_profile()
+    db.find({"from": "orders:1", "limit": 1})
+    db.find({"from": "orders:1", "where": where(("o_orderstatus", "=", "F"))})
+    db.merge_query({"from": "orders:1", "where": where(("o_orderstatus", "=", "F"))}, {"o_orderstatus": F.lit("G")})
+    return db.get_profile({"from": "Profile:1", "aggregate": {"groupBy": ["operation"], "cnt": ["seconds"]}})
+
+
+@add("quota_stats", "SELECT 'a' AS owner, CAST(sum(strlen('{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}')) AS BIGINT) AS size FROM nation")
+def quota_stats(spark, sf_dir):
+    db = Database(Catalog(spark))
+    db.put_kind("nation:1", spark.read.parquet(f"{sf_dir}/nation.parquet"), owner="a", id_col="n_nationkey")
+    return db.quota_stats()
+
+
+@add("group_objects", "SELECT o_orderpriority AS priority, o_orderstatus AS status, count(o_custkey) AS cnt_o_custkey FROM orders GROUP BY 1, 2")
+def group_objects(spark, sf_dir):
+    """Groups of whole objects."""
+    c = Catalog(spark)
+    c.put_kind("orders:1", spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("of", F.struct(F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"))), "o_orderkey")
+    return c.find({"from": "orders:1", "aggregate": {"groupBy": ["of"], "cnt": ["o_custkey"]}}).select(F.col("of.p").alias("priority"), F.col("of.s").alias("status"), "cnt_o_custkey")
+
+
+@add("collated_prefix_list", "SELECT p_partkey FROM part WHERE starts_with(upper(p_name), 'RED') OR starts_with(upper(p_name), 'BLUE')")
+def collated_prefix_list(spark, sf_dir):
+    """Prefixes in a language's collation, in which case does not count."""
+    c = catalog(spark, sf_dir, "part")
+    c.set_locale("fr")
+    return c.search({"from": "part:1", "where": [{"prop": "p_name", "op": "%", "val": ["RED", "blue"], "collate": "primary"}], "select": ["p_partkey"]})
+
+
 # --- scalar helpers
 
 

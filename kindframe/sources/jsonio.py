@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kindframe.functions import values
 from kindframe.operators import mutate
 
 
@@ -15,6 +16,17 @@ def dump(df: DataFrame, path: str, kind: str, deleted: bool = False) -> None:
     rows.drop("_rev", "_kind").withColumn("_kind", F.lit(kind)).write.mode("overwrite").json(path)
 
 
+def dump_documents(df: DataFrame, path: str, kind: str, deleted: bool = False) -> None:
+    """dump() of a schemaless snapshot: each line is the object itself, with its _id, its kind, and _del if it is one."""
+    rows = df if deleted or "_del" not in df.columns else df.where(~F.coalesce(F.col("_del"), F.lit(False)))
+    system = {"_id": F.to_variant_object(F.struct(F.col("_id").cast("string").alias("v"))), "_kind": F.to_variant_object(F.struct(F.lit(kind).alias("v")))}
+    own = F.map_from_entries(F.array(*[F.struct(F.lit(k), F.try_variant_get(v, "$.v", "variant")) for k, v in system.items()]))
+    gone = F.when(F.col("_del"), F.map_from_entries(F.array(F.struct(F.lit("_del"), F.parse_json(F.lit("true")))))) if "_del" in df.columns else F.lit(None)
+    kept = F.map_filter(F.coalesce(F.col("_doc").cast(values.OBJECT_MAP), F.expr("map()").cast(values.OBJECT_MAP)), lambda k, v: ~k.isin("_id", "_kind", "_rev", "_del"))
+    whole = F.map_concat(kept, own, F.coalesce(gone.cast(values.OBJECT_MAP), F.expr("map()").cast(values.OBJECT_MAP)))
+    rows.select(values.json_text(F.to_variant_object(whole)).alias("value")).write.mode("overwrite").text(path)
+
+
 def load_lines(spark: SparkSession, path: str) -> DataFrame:
     """(_kind, _id, _del, _doc) of each object in a dump; _doc is a variant, so that 5 and 5.0 stay apart. Lines that are
     no JSON object are left out."""

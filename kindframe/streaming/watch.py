@@ -81,3 +81,9 @@ def latest_state(changes: DataFrame, key: str = "_id", rev: str = "_rev") -> Dat
     """The last row of each id in a change stream or table, as a running aggregate."""
     row = F.struct(*[F.col(c) for c in changes.columns])
     return changes.groupBy(key).agg(F.max_by(row, F.col(rev)).alias("row")).select("row.*")
+
+
+def activated(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The shards (_shard) that are active now and were not before: each brings rows that no change feed shows, so any of
+    them fires all watches."""
+    return after.select("_shard").join(before.select("_shard"), "_shard", "left_anti").distinct()

@@ -100,3 +100,26 @@ def test_purge_status_and_profile(spark, base):
     times = spark.createDataFrame([(1, 10), (3, 20), (9, 99)], "rev long, ts long")
     base.purge(times, F.lit(50))
     assert base.purge_status() == 3 and sorted(rows(base)) == [1, 2]
+
+
+def test_dump_and_load_again(spark, base, tmp_path):
+    doc = spark.createDataFrame([("p", '{"v":5.0,"_id":"old"}', 1, False), ("q", '{"t":"x"}', 2, True)], "_id string, j string, _rev long, _del boolean")
+    base.put_kind("D:1", doc.select("_id", F.parse_json("j").alias("_doc"), "_rev", "_del"), owner="me")
+    base.put_permissions([{"object": "D:1", "caller": "*", "operations": {"read": "allow"}}])
+    base.dump(str(tmp_path / "d"), deleted=True)
+    again = Database(Catalog(spark))
+    assert again.load(f"{tmp_path}/d/*") == {"K:1": 3, "D:1": 2}
+    assert again.permissions == base.permissions and set(again.catalog.kinds) == {"K:1", "D:1"}
+    got = again.catalog.kind("D:1").df.select("_id", F.to_json("_doc").alias("j"), F.schema_of_variant("_doc").alias("s")).collect()
+    assert [r._id for r in got] == ["p"] and '"_id":"p"' in got[0].j and "v: DECIMAL" in got[0].s
+    assert sorted(r._id for r in again.catalog.kind("K:1").df.collect()) == ["1", "2"]
+
+
+def test_locale_and_shards(spark, base):
+    from kindframe.streaming import watch
+
+    first = base.catalog.cached({"from": "K:1"})
+    base.catalog.set_locale("de")
+    assert base.catalog.cached({"from": "K:1"}) is not first
+    one = spark.createDataFrame([(1,), (2,)], "_shard long")
+    assert [r._shard for r in watch.activated(one.where("_shard = 1"), one).collect()] == [2]
