@@ -290,11 +290,13 @@ def _told(pool: DataFrame, now: dict[str, list[View]], teaches: dict[str, list[b
         for (h, k, a), (found, n) in sums.items():
             if n:
                 number = np.flatnonzero(found)
-                columns = (np.full(len(number) + 1, h), np.full(len(number) + 1, k), np.full(len(number) + 1, a), np.append(number, -1), np.append(found[number], n))
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["_h", "_k", "_a", "_number", "_n"])
+                key = np.append(number + 1, 0) | ((h * 2 + k) * 2 + a) << 20
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.append(found[number], n).astype(np.int64))], ["_key", "_n"])
 
-    got = pool.select("_c", "_p").mapInArrow(taught, "_h long, _k long, _a long, _number long, _n long").groupBy("_h", "_k", "_a", "_number").agg(F.sum("_n").alias("_n")).toArrow()
-    h, k, a, number, n = (c.to_numpy() for c in got.columns)
+    # At most 2^BITS rows of two numbers for each question, view and answer: 17 MB in all.
+    got = pool.select("_c", "_p").mapInArrow(taught, "_key long, _n long").groupBy("_key").agg(F.sum("_n").alias("_n")).toArrow()
+    key, n = (c.to_numpy() for c in got.columns)
+    number, a, k, h = (key & ((1 << 20) - 1)) - 1, key >> 20 & 1, key >> 21 & 1, key >> 22
     out = {}
     for i, head in enumerate(heads):
         out[head] = [no_pseudo(0), no_pseudo(1)]
