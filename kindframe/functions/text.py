@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from kindframe.errors import KindError
 
-#: Fixed names of comparison strengths, with Spark's collation of the root locale. Spark has nothing stronger than tertiary.
-COLLATIONS = {"primary": "UNICODE_CI_AI", "secondary": "UNICODE_CI", "tertiary": "UNICODE", "quaternary": "UNICODE", "identical": "UNICODE"}
+#: Fixed names of comparison strengths, with Spark's collation of the root locale. Spark has nothing stronger than tertiary, of
+#: which quaternary differs in kana only; identical is built on it: texts are equal if all their characters are, and numbers in
+#: them stand in order of their value.
+COLLATIONS = {"primary": "UNICODE_CI_AI", "secondary": "UNICODE_CI", "tertiary": "UNICODE", "quaternary": "UNICODE", "identical": "IDENTICAL:UNICODE"}
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -25,9 +27,24 @@ def collation(strength: str | None, locale: str | None = None) -> str | None:
 
 
 def collated(c: Column, name: str | None) -> Column:
+    """A key that compares as the collation does."""
+    if name and name.startswith("IDENTICAL:"):
+        return F.struct(F.collate(numeric(c), name.partition(":")[2]).alias("k"), c.alias("t"))
     return F.collate(c, name) if name else c
 
 
+def numeric(c: Column) -> Column:
+    """A text whose runs of digits are padded, so that they sort by value."""
+    runs = F.regexp_extract_all(c, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda x: F.when((F.length(x) < 40) & x.rlike("^[0-9]"), F.lpad(x, 40, "0")).otherwise(x)), "")
+
+
+def begins_with(c: Column, part: Column, name: str | None) -> Column:
+    """Whether a text begins with another, in a collation."""
+    plain = name is None or name.startswith("IDENTICAL:")
+    return F.startswith(c, part) if plain else F.startswith(F.collate(c, name), F.collate(part, name))
+
+
 def tokens(c: Column) -> Column:
     """The words of a text, without space and punctuation."""
     return F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
@@ -44,7 +61,7 @@ def matches(token_arrays: Column, query: str, name: str | None = None) -> Column
     words = query_tokens(query)
 
     def begins(word: str) -> Column:
-        return F.exists(token_arrays, lambda t: F.startswith(collated(t, name), collated(F.lit(word), name)))
+        return F.exists(token_arrays, lambda t: begins_with(t, F.lit(word), name))
 
     found = [begins(w) for w in words]
     out = found[0] if found else F.lit(False)

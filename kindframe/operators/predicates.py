@@ -31,14 +31,15 @@ def _compare(c: Column, kind: T.DataType, b: Bound, collate: str | None) -> Colu
             return _compare(F.try_variant_get(c, "$", "string"), T.StringType(), b, collate)
         key, lit = values.order_key(c), values.order_literal
     else:
-        key, lit = text.collated(c, collate) if isinstance(kind, T.StringType) else c, lambda v: _operand(v, kind)
+        own = collate if isinstance(kind, T.StringType) else None
+        key, lit = text.collated(c, own), lambda v: text.collated(_operand(v, kind), own)
     if b.op in ("=", "%") and isinstance(b.val, (list, tuple)):
         one = [v for i, v in enumerate(b.val) if v not in b.val[:i]]
         if b.op == "=" and not isinstance(kind, (T.VariantType, T.StructType)) and not collate and None not in one:
             return key.isin(one) if one else F.lit(False)
         return _any([_compare(c, kind, Bound(b.op, v), collate) for v in one])
     if b.op == "%" and isinstance(b.val, str) and isinstance(kind, T.StringType):
-        return F.startswith(key, text.collated(F.lit(b.val), collate))
+        return text.begins_with(c, F.lit(b.val), collate)
     if b.op == "?":
         return text.matches(text.tokens(c), b.val, collate)
     if b.val is None and not isinstance(kind, T.VariantType):

@@ -270,7 +270,12 @@ class Catalog:
             if raw is None:
                 out = out & key.isNull() if q.desc else key.isNotNull() | out
                 continue
-            v = F.struct(*[F.lit(x).cast(t).alias(n) for x, (n, t) in zip(raw, values.KEY_FIELDS, strict=True)]) if isinstance(raw, (list, tuple)) else F.lit(raw)
+            if isinstance(raw, (list, tuple)) and len(raw) == 2:  # a text of identical strength
+                v = collated(F.lit(raw[1]), collation("identical", self.locale))
+            elif isinstance(raw, (list, tuple)):
+                v = F.struct(*[F.lit(x).cast(t).alias(n) for x, (n, t) in zip(raw, values.KEY_FIELDS, strict=True)])
+            else:
+                v = F.lit(raw)
             out = (key < v if q.desc else key > v) | key.isNull() & F.lit(q.desc) | (key == v) & out
         return out
 

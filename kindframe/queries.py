@@ -512,6 +512,16 @@ def collated_prefix_list(spark, sf_dir):
     return c.search({"from": "part:1", "where": [{"prop": "p_name", "op": "%", "val": ["RED", "blue"], "collate": "primary"}], "select": ["p_partkey"]})
 
 
+@add("collated_numbers", "SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0 ORDER BY c_custkey LIMIT 40 OFFSET 40")
+def collated_numbers(spark, sf_dir):
+    """The second page of texts whose numbers count by value, though some are padded."""
+    c = Catalog(spark)
+    label = F.concat(F.lit("no "), F.when(F.col("c_custkey") % 4 == 0, F.lit("00")).otherwise(F.lit("")), F.col("c_custkey").cast("string"))
+    c.put_kind("customer:1", spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 2 = 0").select("c_custkey", label.alias("label")), "c_custkey", indexes=[Index(["label"], collate={"label": "identical"})])
+    query = {"from": "customer:1", "where": [{"prop": "label", "op": "%", "val": "no ", "collate": "identical"}], "orderBy": "label", "limit": 40, "select": ["c_custkey"]}
+    return c.find(query | {"page": c.find_page(query)[1]})
+
+
 # --- scalar helpers
 
 
