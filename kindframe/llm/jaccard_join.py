@@ -34,6 +34,8 @@ from kindframe.llm.store import dropped, each, records, row_key, slim, stored, t
 WORDS = 5
 #: Tokens sorted together on the map side, tokens of a bucket, and tokens of a stored chunk.
 CHUNK, BUCKET, STORED = 800_000, 1_000_000, 150_000
+#: Buckets are dealt to at most so many tasks, which take theirs one after another.
+MOST_TASKS = 20_000
 #: Classes and tokens of a block of a group, and of a batch that asks it: whichever is reached first.
 BLOCK, ASKS, BLOCK_TOKENS = 128, 64, 200_000
 MARK = 0xFFFF
@@ -171,27 +173,46 @@ SHARED = "_chunk long, _owners binary, _counts binary, _sets binary, _sizes bina
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A bucket's keys -> for each chunk, its owners' numbers of tokens that other sets have too."""
     names = [x.split()[0] for x in SHARED.split(", ")]
-    blobs = []
-    for b in batches:
-        for r in records(b):
+    for rows in _buckets(batches):
+        blobs = []
+        for r in rows:
             if r["_keys"] is None:
                 yield pa.RecordBatch.from_arrays([pa.array([r["_chunk"]], pa.int64()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([r["_sets"]], pa.binary()), pa.array([r["_sizes"]], pa.binary())], names)
             else:
                 blobs.append((r["_chunk"], np.frombuffer(r["_keys"], np.uint64)))
-    if not blobs:
-        return
-    token = np.sort(np.concatenate([k >> np.uint64(16) for _, k in blobs]))
-    marked = [k[(k & np.uint64(MARK)) == MARK] >> np.uint64(16) for _, k in blobs]
-    shared = np.unique(np.concatenate([token[1:][token[1:] == token[:-1]], *marked]))
-    del token
-    if not len(shared):
-        return
-    for chunk, k in blobs:
-        own, t = (k & np.uint64(MARK)).astype(np.int64), k >> np.uint64(16)
-        at = np.minimum(np.searchsorted(shared, t), len(shared) - 1)
-        owners, counts = np.unique(own[(shared[at] == t) & (own != MARK)], return_counts=True)
-        if len(owners):
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([owners.astype(np.uint16).tobytes()], pa.binary()), pa.array([counts.astype(np.int32).tobytes()], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.binary())], names)
+        del rows
+        if not blobs:
+            continue
+        token = np.sort(np.concatenate([k >> np.uint64(16) for _, k in blobs]))
+        marked = [k[(k & np.uint64(MARK)) == MARK] >> np.uint64(16) for _, k in blobs]
+        shared = np.unique(np.concatenate([token[1:][token[1:] == token[:-1]], *marked]))
+        del token
+        for chunk, k in blobs if len(shared) else ():
+            own, t = (k & np.uint64(MARK)).astype(np.int64), k >> np.uint64(16)
+            at = np.minimum(np.searchsorted(shared, t), len(shared) - 1)
+            owners, counts = np.unique(own[(shared[at] == t) & (own != MARK)], return_counts=True)
+            if len(owners):
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([owners.astype(np.uint16).tobytes()], pa.binary()), pa.array([counts.astype(np.int32).tobytes()], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.binary())], names)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of each bucket; rows come in order of bucket."""
+    now, rows = None, []
+    for b in batches:
+        for r in records(b):
+            if r["_bucket"] != now and rows:
+                yield rows
+                rows = []
+            now = r["_bucket"]
+            rows.append(r)
+    if rows:
+        yield rows
+
+
+def _dealt_out(blobs: DataFrame, buckets: int) -> DataFrame:
+    """Blobs so that a task has all of its buckets, one after another."""
+    parts = min(buckets, MOST_TASKS)
+    return blobs.repartitionById(parts, F.floor(F.col("_bucket").cast("long") * parts / buckets).cast("int")).sortWithinPartitions("_bucket")
 
 
 @slim
@@ -227,11 +248,9 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _asked_for(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """Those rows (_row, _text) whose _row is in keys (_row), and some others, so that few texts are shuffled to meet keys.
 
-    A map of bits goes to all tasks, at most MOST_BITS of them; where keys are too many for it to tell, all rows come back.
+    A map of bits goes to all tasks, at most MOST_BITS of them; the more keys there are beyond that, the more others come back.
     """
     n = keys.count()
-    if n * 2 > MOST_BITS:
-        return rows
     bits = 64
     while bits < min(n * BITS_EACH, MOST_BITS):
         bits *= 2
@@ -362,22 +381,20 @@ def _rows_of_matrix(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator
 @slim
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each chunk, those of its tokens that several components hold, and how many."""
-    rows = [r for b in batches for r in records(b)]
-    if not rows:
-        return
-    tokens = np.concatenate([np.frombuffer(r["_tokens"], np.uint64) for r in rows])
-    groups = np.concatenate([np.frombuffer(r["_groups"], np.int64) for r in rows])
-    order = np.lexsort((groups, tokens))
-    t, g = tokens[order], groups[order]
-    new = np.concatenate(([True], (t[1:] != t[:-1]) | (g[1:] != g[:-1])))
-    token, count = np.unique(t[new], return_counts=True)
-    token, count = token[count > 1], count[count > 1]
-    for r in rows:
-        own = np.unique(np.frombuffer(r["_tokens"], np.uint64))
-        at = np.minimum(np.searchsorted(token, own), max(len(token) - 1, 0))
-        hit = token[at] == own if len(token) else np.zeros(len(own), bool)
-        if hit.any():
-            yield pa.RecordBatch.from_arrays([pa.array([r["_chunk"]], pa.int64()), pa.array([own[hit].tobytes()], pa.binary()), pa.array([count[at[hit]].astype(np.int32).tobytes()], pa.binary())], ["_chunk", "_common", "_in"])
+    for rows in _buckets(batches):
+        tokens = np.concatenate([np.frombuffer(r["_tokens"], np.uint64) for r in rows])
+        groups = np.concatenate([np.frombuffer(r["_groups"], np.int64) for r in rows])
+        order = np.lexsort((groups, tokens))
+        t, g = tokens[order], groups[order]
+        new = np.concatenate(([True], (t[1:] != t[:-1]) | (g[1:] != g[:-1])))
+        token, count = np.unique(t[new], return_counts=True)
+        token, count = token[count > 1], count[count > 1]
+        for r in rows:
+            own = np.unique(np.frombuffer(r["_tokens"], np.uint64))
+            at = np.minimum(np.searchsorted(token, own), max(len(token) - 1, 0))
+            hit = token[at] == own if len(token) else np.zeros(len(own), bool)
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array([r["_chunk"]], pa.int64()), pa.array([own[hit].tobytes()], pa.binary()), pa.array([count[at[hit]].astype(np.int32).tobytes()], pa.binary())], ["_chunk", "_common", "_in"])
 
 
 QUERIES = "_set long, _c long, _size long, _group long, _n long, _most long, _tokens binary, _rare binary"
@@ -456,7 +473,7 @@ def _between(chunks: DataFrame, roots: DataFrame, pairs: DataFrame, buckets: int
     labelled = each_label.join(sizes, "_c", "left").withColumn("_size", F.coalesce("_size", F.lit(1)).cast("long"))
     labels = labelled.groupBy("_chunk").agg(F.array_sort(F.collect_list(F.struct("_i", "_c", "_size", "_group"))).alias("_labels"))
     full = stored(chunks.join(labels, "_chunk"), "chunks")
-    matrix = full.mapInArrow(lambda b: _rows_of_matrix(b, buckets), MATRIX).repartitionById(buckets, F.col("_bucket"))
+    matrix = _dealt_out(full.mapInArrow(lambda b: _rows_of_matrix(b, buckets), MATRIX), buckets)
     parts = matrix.mapInArrow(_across, "_chunk long, _common binary, _in binary").groupBy("_chunk").agg(F.collect_list(F.struct("_common", "_in")).alias("_parts"))
     queries = stored(full.join(parts, "_chunk").select("_sets", "_sizes", "_tokens", "_labels", "_parts").mapInArrow(_queries, QUERIES), "queries")
     if queries.isEmpty():
@@ -515,8 +532,8 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     met = frozenset(r["_set"] for r in shared_keys)
     keyed = hashed.withColumn("_set", F.when(F.col("_set").isin(list(met)), F.col("_other")).otherwise(F.col("_set"))) if met else hashed
     buckets = max(tasks(docs.sparkSession), -(-total // BUCKET))
-    blobs = rows.select("_text").mapInArrow(lambda b: _dealt(b, buckets, met), BLOBS).repartitionById(buckets, F.col("_bucket"))
-    shared = blobs.mapInArrow(_met, SHARED).repartition("_chunk").sortWithinPartitions("_chunk")
+    blobs = rows.select("_text").mapInArrow(lambda b: _dealt(b, buckets, met), BLOBS)
+    shared = _dealt_out(blobs, buckets).mapInArrow(_met, SHARED).repartition("_chunk").sortWithinPartitions("_chunk")
     able = stored(shared.mapInArrow(_summed, "_set long, _apart long").groupBy("_set").agg(F.min("_apart").alias("_apart")), "able")
     # One row of each of these classes brings its text.
     one = stored(keyed.join(able, "_set").groupBy("_set").agg(F.min("_row").alias("_row")), "representatives")

@@ -441,6 +441,14 @@ def test_components_of_near_duplicates(spark, texts):
     assert stay == {c for _, c in want.values()}
 
 
+def test_tasks_take_several_buckets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BUCKET", 150)
+    monkeypatch.setattr(jaccard_join, "MOST_TASKS", 3)
+    all_of = near_threshold(5, 60)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(table(spark, all_of)).collect()}
+    assert got == brute_components(all_of)
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert jaccard_join.near_duplicates(table(spark, ["a"]).limit(0)).count() == 0
     rows = table(spark, ["a b c d e f", "a b c d e f", None, "", "x"], [None, 5, 1, 1, 5])
@@ -552,6 +560,14 @@ def test_held_out_accuracy(spark):
     assert kept[True, False] > 0.98 and kept[True, True] < 0.2 and kept[False, False] < 0.3 and kept[False, True] < 0.3
 
 
+def test_scores_of_very_long_texts(spark):
+    long = " ".join(f"w{i} !?" for i in range(60_000))
+    docs = spark.createDataFrame([(i, long if i % 2 else f"{long} {i}") for i in range(12)] + [(20, None), (21, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    out = cotraining.score(docs, cotraining.fit(docs, labels)).collect()
+    assert len(out) == 14 and len({r.p_quality for r in out if r.doc_id % 2 and r.doc_id < 12}) == 1
+
+
 def test_scores_of_odd_tables(spark, texts):
     docs = table(spark, texts).withColumn("keep", F.lit("x"))
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
