@@ -181,9 +181,11 @@ class Catalog:
 
     def _further(self, df: DataFrame, q: QuerySpec, index: Index | None, search: bool) -> list[Column]:
         """In find, rows of one value stand in order of the index's properties after that one."""
-        if search or not index or not q.order_by or q.order_by not in index.props:
+        if search or not index or q.order_by and q.order_by not in index.props:
             return []
-        rest = [self._values(df, p, index) for p in index.props[index.props.index(q.order_by) + 1 :] if p not in ("_id", "_del")]
+        # Without an order, compared properties are equal, and those after them give the order.
+        start = index.props.index(q.order_by) + 1 if q.order_by else len(q.where)
+        rest = [self._values(df, p, index) for p in index.props[start:] if p not in ("_id", "_del")]
         return [values.order_key(v.column) if v.variant else v.column for v in rest if not v.many]
 
     def _ordered(self, df: DataFrame, q: QuerySpec, key: Column | None, further: list[Column] = ()) -> DataFrame:
@@ -198,7 +200,7 @@ class Catalog:
             out = df.where(v.column.isNotNull()).select((F.explode(v.column) if v.many else v.column).alias(name)).distinct()
             out = out.orderBy(F.col(f"`{name}`").desc() if q.desc else F.col(f"`{name}`").asc())
             return out if q.limit is None else out.limit(q.limit)
-        if not q.immediate and (key is not None or q.limit is not None or q.desc):
+        if not q.immediate and (key is not None or further or q.limit is not None or q.desc):
             df = self._ordered(df, q, key, further)
         if q.limit is not None:
             df = df.limit(q.limit)

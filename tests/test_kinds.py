@@ -204,6 +204,8 @@ def test_pages_over_variants_and_further_properties(spark):
     t = spark.createDataFrame([(1, 1, 9), (2, 1, 3), (3, 0, 5)], "_id long, a long, b long")
     c.put_kind("T:1", t, indexes=[Index(["a", "b"])])
     assert [r._id for r in c.find({"from": "T:1", "orderBy": "a", "limit": 9}).collect()] == [3, 2, 1]
+    assert [r._id for r in c.find(q("T:1", ("a", "=", 1))).collect()] == [2, 1]
+    assert [r._id for r in c.find(q("T:1", ("a", "=", 1), limit=1, page=c.find_page(q("T:1", ("a", "=", 1), limit=1))[1])).collect()] == [1]
 
 
 def test_order_across_types(spark):
