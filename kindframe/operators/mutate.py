@@ -152,6 +152,24 @@ def revision_sets(old: DataFrame, new: DataFrame, sets: dict[str, list[str]]) ->
     return met.drop("_o")
 
 
+def own_revisions(new: DataFrame, changed: DataFrame) -> DataFrame:
+    """new with a revision of its own for each changed row, from the one that they share on, in order of _id.
+
+    changed is what changed_ids() gave, written and read again, as a row's place must not depend on who asks.
+    """
+    part, place = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = changed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # one row a partition
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    numbers = changed.withColumn("_part", part).join(before, "_part").select("_id", (F.col("_before") + place).alias("_more"))
+    return new.join(numbers, "_id", "left").withColumn("_rev", F.col("_rev") + F.coalesce("_more", F.lit(0))).select(*new.columns)
+
+
+def changed_ids(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(_id, _place) of the rows of new that have a revision after old's last, dealt by ranges of _id; places sort as ids do."""
+    ids = new.where(F.col("_rev") > last_rev(old)).select("_id")
+    return ids.repartitionByRange("_id").sortWithinPartitions("_id").withColumn("_place", F.monotonically_increasing_id())
+
+
 def latest(df: DataFrame) -> DataFrame:
     """The newest revision of each id."""
     order = Window.partitionBy("_id").orderBy(F.desc("_rev"))

@@ -43,10 +43,15 @@ class Watch:
 
 
 class Database:
-    """caller is who calls; without one nothing is refused. Kinds are snapshots with _id, _rev and _del."""
+    """caller is who calls; without one nothing is refused. Kinds are snapshots with _id, _rev and _del.
 
-    def __init__(self, catalog: Catalog, caller: str | None = None, admins: tuple[str, ...] = (), folder: str | None = None):
-        self.catalog, self.caller, self.admins, self.folder = catalog, caller, admins, folder
+    With own_revisions, which needs a folder, the rows that one write changes have a revision each and not one together.
+    """
+
+    def __init__(self, catalog: Catalog, caller: str | None = None, admins: tuple[str, ...] = (), folder: str | None = None, own_revisions: bool = False):
+        if own_revisions and not folder:
+            raise KindError("InvalidOperation", "own_revisions needs a folder")
+        self.catalog, self.caller, self.admins, self.folder, self.own_revisions = catalog, caller, admins, folder, own_revisions
         self.permissions: list[dict] = []
         self.quotas: dict[str, int] = {}
         self.purged_rev = 0
@@ -105,6 +110,9 @@ class Database:
         return self.catalog.put_kind(name, df, **({"owner": self.caller or ""} | more))
 
     def _replace(self, kind: Kind, new: DataFrame, grew: bool = True) -> None:
+        if self.own_revisions:
+            new = self._written(new, kind.name)
+            new = mutate.own_revisions(new, self._written(mutate.changed_ids(kind.df, new), "changed"))
         if kind.rev_sets:
             new = mutate.revision_sets(kind.df, new, kind.rev_sets)
         if kind.schema:
@@ -117,13 +125,14 @@ class Database:
             own = [(k.owner, new if k is kind else k.df) for k in self.catalog.kinds.values() if k.owner == kind.owner]
             if admin.usage(own).first()["size"] > self.quotas[kind.owner]:
                 raise KindError("QuotaExceeded", kind.owner)
-        if self.folder:
-            path = f"{self.folder}/{kind.name.replace(':', '-')}-{uuid.uuid4().hex}"
-            new.write.parquet(path)
-            new = self.catalog.spark.read.schema(new.schema).parquet(path)
-        kind.df = new
+        kind.df = self._written(new, kind.name) if self.folder else new
         self.catalog._version[kind.name] += 1
 
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name.replace(':', '-')}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.catalog.spark.read.schema(df.schema).parquet(path)
+
     def put(self, name: str, new: DataFrame, check: bool = True) -> None:
         self._check("create", name)
         kind = self.catalog.kind(name)

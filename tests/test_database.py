@@ -123,3 +123,13 @@ def test_locale_and_shards(spark, base):
     assert base.catalog.cached({"from": "K:1"}) is not first
     one = spark.createDataFrame([(1,), (2,)], "_shard long")
     assert [r._shard for r in watch.activated(one.where("_shard = 1"), one).collect()] == [2]
+
+
+def test_a_revision_for_each_row(spark, base, tmp_path):
+    db = Database(base.catalog, folder=str(tmp_path / "s"), own_revisions=True)
+    db.put("K:1", spark.createDataFrame([(i, "n", i, None) for i in range(40, 10, -1)], "_id long, a string, n long, _rev long").repartition(5))
+    assert {i: r._rev for i, r in rows(db).items()} == {1: 1, 2: 2, 3: 3} | {i: i - 7 for i in range(11, 41)}
+    db.merge("K:1", spark.createDataFrame([(2, "m"), (11, "n"), (40, "m")], "_id long, a string"))
+    assert [rows(db)[i]._rev for i in (2, 11, 40)] == [34, 4, 35]
+    with pytest.raises(KindError, match="InvalidOperation"):
+        Database(base.catalog, own_revisions=True)
